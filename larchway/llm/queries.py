@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larchway.llm import packing
+from larchway.llm import packing, piece_codec, token_counts
 from larchway.llm.common import read
 
+#: Documents of more tokens than this are marked by op2.
+TOKEN_LIMIT = 2048
+
 
 def vocabulary(name: str) -> str:
     import public_tokenizers
@@ -23,8 +26,24 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "step_group")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of each whole document."""
+    counts = token_counts.count_tokens(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checksums of the ids and of the decoded text of each whole document."""
+    coded = piece_codec.encode_and_decode(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing}
+    return {
+        "op1_packing": op1_packing,
+        "op2_token_counts": op2_token_counts,
+        "op9_piece_codec": op9_piece_codec,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
