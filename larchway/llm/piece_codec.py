@@ -14,6 +14,7 @@ in order. A chunk is encoded once for each worker:
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -53,7 +54,9 @@ class PieceCodec:
         self.raw = {i: bytes([b]) for b, i in self.byte_id.items()} | {i: p.replace(BLANK, " ").encode() for p, i in self.id.items()} | {sp.bos_id(): b"", sp.eos_id(): b""}
         self.unknown = "⁇".join("  ").encode()
         self.chunks = re.compile(r" *[^ \n]+|\n| +").findall
-        self.memo = Memo(lambda chunk: np.array(self.encode_chunk(chunk.replace(" ", BLANK)), "<u4").tobytes(), 300_000)
+        self.memo = Memo(self._chunk, 400_000)
+        self.memo_mark = {m: np.uint32(self.id[m]).tobytes() for m in ".,;:" if m in self.id}
+        self.last = {i: p for p, i in self.id.items()}
 
     def merge(self, parts: list[str]) -> list[str]:
         """Merges the adjacent two with the best score, the leftmost of equals, until none merge."""
@@ -64,24 +67,30 @@ class PieceCodec:
             parts = [*parts[:-at], parts[-at] + parts[1 - at], *parts[2 - at :]]
         return parts
 
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk[-1] in ".,;:" and chunk[-2:-1].isalpha():  # the ids of the rest and the mark, where these don't merge
+            rest, mark = self.memo[chunk[:-1]], chunk[-1]
+            before = self.last.get(int.from_bytes(rest[-4:], "little"))
+            if before and mark in self.id and self.pair[before, mark]:
+                return rest + self.memo_mark[mark]
+        return array("I", self.encode_chunk(chunk.replace(" ", BLANK))).tobytes()
+
     def encode_chunk(self, chunk: str) -> list[int]:
         n = len(chunk)
-        at: list[list[str]] = [[] for _ in range(n)]
+        at: list[list[str]] = [[] for _ in range(n)]  # by start, shortest first, as ends rise
         for last, piece in self.match.iter(chunk):
             at[last + 1 - len(piece)].append(piece)
-        for found in at:
-            found.sort(key=len, reverse=True)
         failed = bytearray(n // 8 + 1)
-        taken: list[tuple[int, int, str]] = []  # start, place among the candidates there, piece
+        taken: list[tuple[int, int, str]] = []  # start, how many longer candidates there are, piece
         pos = k = 0
         while pos < n:
             before = taken[-1][2] if taken else None
             candidates = at[pos] or [chunk[pos]]
-            for k in range(k, len(candidates)):  # noqa: B020, PLR1704
+            for k in range(len(candidates) - 1 - k, -1, -1):  # noqa: B020, PLR1704
                 piece = candidates[k]
                 stop = pos + len(piece)
                 if not failed[stop >> 3] >> (stop & 7) & 1 and (before is None or self.pair[before, piece]):
-                    taken.append((pos, k, piece))
+                    taken.append((pos, len(candidates) - 1 - k, piece))
                     pos, k = stop, 0
                     break
             else:
