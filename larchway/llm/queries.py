@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larchway.llm import packing, piece_codec, token_counts
+from larchway.llm import packing, piece_codec, quality, token_counts
 from larchway.llm.common import read
 
 #: Documents of more tokens than this are marked by op2.
@@ -32,6 +32,45 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of all documents under the newest policy."""
+    out = quality.apply_policy(quality.ledger(read(spark, sf_dir, "documents")), "v1")
+    base = F.col("failed").bitwiseAND(F.lit(quality.mask_of("base"))) != 0
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "n_lines", "n_twin_words", "n_upper", "failed")
+
+
+OP8_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS ws FROM documents
+), lines AS (
+  SELECT doc_id, t, ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM w
+), g AS (
+  SELECT doc_id, i, ws[i] || chr(10) || ws[i + 1] || chr(10) || ws[i + 2] AS gram
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id
+), twins AS (
+  SELECT doc_id, count(*) AS n FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w) WHERE ws[i] = ws[i + 1] GROUP BY doc_id
+), m AS (
+  SELECT l.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+    len(ls)::BIGINT AS n_lines, coalesce(tw.n, 0)::BIGINT AS n_twin_words,
+    length(regexp_replace(t, '[^A-ZÀ-ÖØ-ÞА-ЯΑ-Ω]', '', 'g'))::BIGINT AS n_upper
+  FROM lines l LEFT JOIN covered c ON l.doc_id = c.doc_id LEFT JOIN twins tw ON l.doc_id = tw.doc_id
+), f AS (
+  SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
+    + 8 * (word_chars < 2 * n_words)::BIGINT + 16 * (word_chars > 20 * n_words)::BIGINT + 32 * (2 * n_dup_lines > n_lines)::BIGINT
+    + 64 * (2 * n_upper > word_chars)::BIGINT + 128 * (5 * n_twin_words > n_words)::BIGINT)::BIGINT AS failed FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept,
+  n_lines, n_twin_words, n_upper, failed
+FROM f
+"""
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checksums of the ids and of the decoded text of each whole document."""
     coded = piece_codec.encode_and_decode(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
@@ -42,9 +81,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_token_counts": op2_token_counts,
+        "op8_quality_ledger": op8_quality_ledger,
         "op9_piece_codec": op9_piece_codec,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_quality_ledger": OP8_SQL}
