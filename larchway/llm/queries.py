@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larchway.llm import packing, piece_codec, quality, token_counts
+from larchway.llm import jaccard, packing, piece_codec, quality, token_counts
 from larchway.llm.common import read
 
 #: Documents of more tokens than this are marked by op2.
@@ -41,9 +41,11 @@ def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH w AS (
-  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS ws FROM documents
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS ws FROM documents
 ), lines AS (
-  SELECT doc_id, t, ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM w
+  SELECT doc_id, t, ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS ls FROM w
 ), g AS (
   SELECT doc_id, i, ws[i] || chr(10) || ws[i + 1] || chr(10) || ws[i + 2] AS gram
   FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)
@@ -77,12 +79,18 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles have a Jaccard similarity of 0.85 or more."""
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_token_counts": op2_token_counts,
         "op8_quality_ledger": op8_quality_ledger,
         "op9_piece_codec": op9_piece_codec,
+        "op10_jaccard": op10_jaccard,
     }
 
 
