@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larchway.llm import jaccard, packing, piece_codec, quality, token_counts
+from larchway.llm import embedding_forest, jaccard, packing, piece_codec, quality, token_counts
 from larchway.llm.common import read
 
 #: Documents of more tokens than this are marked by op2.
@@ -32,6 +32,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op3_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings with equal labels and a cosine of 0.98 or more."""
+    return embedding_forest.near_vectors(read(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of all documents under the newest policy."""
     out = quality.apply_policy(quality.ledger(read(spark, sf_dir, "documents")), "v1")
@@ -88,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_token_counts": op2_token_counts,
+        "op3_embedding_forest": op3_embedding_forest,
         "op8_quality_ledger": op8_quality_ledger,
         "op9_piece_codec": op9_piece_codec,
         "op10_jaccard": op10_jaccard,
