@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larchway.llm import embedding_forest, jaccard, packing, piece_codec, quality, token_counts
+from larchway.llm import embedding_forest, jaccard, packing, piece_codec, quality, token_counts, toxicity
 from larchway.llm.common import read
 
 #: Documents of more tokens than this are marked by op2.
@@ -37,6 +37,13 @@ def op3_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_forest.near_vectors(read(spark, sf_dir, "embeddings"), least=0.98)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all whole documents, learned from the labelled rows that aren't held out."""
+    docs = read(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of all documents under the newest policy."""
     out = quality.apply_policy(quality.ledger(read(spark, sf_dir, "documents")), "v1")
@@ -94,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op2_token_counts": op2_token_counts,
         "op3_embedding_forest": op3_embedding_forest,
+        "op5_toxicity": op5_toxicity,
         "op8_quality_ledger": op8_quality_ledger,
         "op9_piece_codec": op9_piece_codec,
         "op10_jaccard": op10_jaccard,
