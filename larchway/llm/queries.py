@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larchway.llm import embedding_forest, jaccard, packing, piece_codec, quality, token_counts, toxicity
+from larchway.llm import embedding_forest, jaccard, line_dedup, packing, piece_codec, quality, token_counts, toxicity
 from larchway.llm.common import read
 
 #: Documents of more tokens than this are marked by op2.
@@ -44,6 +44,35 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that an earlier line equals, or comes within one word of."""
+    out = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+OP7_SQL = r"""
+WITH l AS (
+  SELECT doc_id, i AS line_no, ls[i] AS line, list_filter(regexp_split_to_array(ls[i], '[ 	-]+'), lambda w: w <> '') AS ws
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
+), long AS (SELECT *, len(ws) AS n FROM l WHERE len(ws) >= 8
+), c AS (SELECT ws, n, min((doc_id, line_no)) AS first FROM long GROUP BY ws, n
+), near AS (
+  SELECT DISTINCT a.ws FROM c a JOIN c b ON b.n BETWEEN a.n - 1 AND a.n + 1 AND b.first < a.first
+  WHERE (a.ws[1:4] = b.ws[1:4] OR a.ws[-4:] = b.ws[-4:]) AND CASE
+    WHEN a.n = b.n THEN len(list_filter(range(1, a.n + 1), lambda k: a.ws[k] <> b.ws[k])) = 1
+    WHEN a.n > b.n THEN len(list_filter(range(1, a.n + 1), lambda k: list_concat(a.ws[1:k - 1], a.ws[k + 1:]) = b.ws)) > 0
+    ELSE len(list_filter(range(1, b.n + 1), lambda k: list_concat(b.ws[1:k - 1], b.ws[k + 1:]) = a.ws)) > 0 END
+), gone AS (
+  SELECT g.doc_id, g.line_no FROM long g JOIN c ON g.ws = c.ws WHERE c.first < (g.doc_id, g.line_no) OR g.ws IN (SELECT ws FROM near)
+), kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.line_no) AS n_removed,
+    coalesce(string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (WHERE g.line_no IS NULL), '') AS text
+  FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line_no = g.line_no GROUP BY l.doc_id
+)
+SELECT doc_id, n_lines, n_removed, length(text)::BIGINT AS n_chars, md5(text) AS text_md5 FROM kept
+"""
+
+
 def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of all documents under the newest policy."""
     out = quality.apply_policy(quality.ledger(read(spark, sf_dir, "documents")), "v1")
@@ -102,6 +131,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op3_embedding_forest": op3_embedding_forest,
         "op5_toxicity": op5_toxicity,
+        "op7_line_dedup": op7_line_dedup,
         "op8_quality_ledger": op8_quality_ledger,
         "op9_piece_codec": op9_piece_codec,
         "op10_jaccard": op10_jaccard,
@@ -109,4 +139,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_ledger": OP8_SQL}
+    return {"op7_line_dedup": OP7_SQL, "op8_quality_ledger": OP8_SQL}
