@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larchway.llm import embedding_forest, jaccard, line_dedup, packing, piece_codec, quality, token_counts, toxicity
+from larchway.llm import embedding_forest, jaccard, line_dedup, log_bilinear, packing, piece_codec, quality, token_counts, toxicity
 from larchway.llm.common import read
 
 #: Documents of more tokens than this are marked by op2.
@@ -37,6 +37,11 @@ def op3_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_forest.near_vectors(read(spark, sf_dir, "embeddings"), least=0.98)
 
 
+def op4_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all whole documents under the smoothed unigram base and the log-bilinear model."""
+    return log_bilinear.score_texts(read(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all whole documents, learned from the labelled rows that aren't held out."""
     docs = read(spark, sf_dir, "documents")
@@ -52,7 +57,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH l AS (
-  SELECT doc_id, i AS line_no, ls[i] AS line, list_filter(regexp_split_to_array(ls[i], '[ 	-]+'), lambda w: w <> '') AS ws
+  SELECT doc_id, i AS line_no, ls[i] AS line, list_filter(regexp_split_to_array(ls[i], '[ 	-
+]+'), lambda w: w <> '') AS ws
   FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
 ), long AS (SELECT *, len(ws) AS n FROM l WHERE len(ws) >= 8
 ), c AS (SELECT ws, n, min((doc_id, line_no)) AS first FROM long GROUP BY ws, n
@@ -130,6 +136,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op2_token_counts": op2_token_counts,
         "op3_embedding_forest": op3_embedding_forest,
+        "op4_log_bilinear": op4_log_bilinear,
         "op5_toxicity": op5_toxicity,
         "op7_line_dedup": op7_line_dedup,
         "op8_quality_ledger": op8_quality_ledger,
