@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larchway.llm import embedding_forest, jaccard, line_dedup, log_bilinear, packing, piece_codec, quality, token_counts, toxicity
+from larchway.llm import embedding_forest, jaccard, line_dedup, log_bilinear, packing, piece_codec, quality, token_counts, toxicity, warc
 from larchway.llm.common import read
 
 #: Documents of more tokens than this are marked by op2.
@@ -49,6 +49,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metadata and conversion records of all pages, with the ids they refer to, source headers and digests."""
+    out = warc.derivatives(read(spark, sf_dir, "pages"), responses=False)
+    return out.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "source_headers", "content_type", "block_digest", "payload_digest", "content_length", F.sha2("record", 256).alias("record_sha256"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that an earlier line equals, or comes within one word of."""
     out = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
@@ -138,6 +144,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_embedding_forest": op3_embedding_forest,
         "op4_log_bilinear": op4_log_bilinear,
         "op5_toxicity": op5_toxicity,
+        "op6_warc_derivatives": op6_warc_derivatives,
         "op7_line_dedup": op7_line_dedup,
         "op8_quality_ledger": op8_quality_ledger,
         "op9_piece_codec": op9_piece_codec,
