@@ -13,6 +13,11 @@ UNITS = {"h": 3600.0, "m": 60.0, "s": 1.0, "ms": 1e-3, "us": 1e-6, "µs": 1e-6,
 SIZES = {"": 0, "K": 1, "M": 2, "G": 3, "T": 4}
 
 
+def micros(x: Column | str) -> Column:
+    """Microseconds of a timestamp with or without a time zone."""
+    return F.unix_micros((F.col(x) if isinstance(x, str) else x).cast("timestamp"))
+
+
 def quote_identifier(x: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larchway.functions.expressions import member_key
+from larchway.functions.expressions import member_key, micros
 from larchway.operators.chain import resolve
 
 
@@ -39,7 +39,7 @@ def sweep_verdict(stones: DataFrame, marked: DataFrame, objects: DataFrame, head
         .join(heads, "lineage", "left")
     )
     verdict = (
-        F.when(F.unix_micros(now) - F.unix_micros("marked_at") < grace * 1_000_000, "waiting")
+        F.when(micros(now) - micros("marked_at") < grace * 1_000_000, "waiting")
         .when(F.coalesce("marked", F.lit(False)), "rescued")
         .when(~F.coalesce("there", F.lit(False)), "pruned")
         .when((F.col("max_txid") > F.col("head_txid")) & (F.col("epoch") >= F.col("head_epoch")), "guarded")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larchway.functions.expressions import micros
+
 #: Upper bounds of a duration histogram, in seconds.
 BOUNDS = (0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 300.0)
 
@@ -60,7 +62,7 @@ def flush_counter(events: DataFrame) -> DataFrame:
 def durable_age(events: DataFrame, labels: Sequence[str], now: Column) -> DataFrame:
     """Seconds since the last flush; labels that never flushed have no row."""
     last = events.where("type = 'flushed'").groupBy(*labels).agg(F.max("ts").alias("last"))
-    return last.select(*labels, ((F.unix_micros(now) - F.unix_micros("last")) / 1e6).alias("age"))
+    return last.select(*labels, ((micros(now) - micros("last")) / 1e6).alias("age"))
 
 
 def capture_lag(offsets: DataFrame, key: str) -> DataFrame:
@@ -72,7 +74,7 @@ def capture_lag(offsets: DataFrame, key: str) -> DataFrame:
 def takeovers(events: DataFrame, key: str, gap_seconds: int, most: int) -> DataFrame:
     """Runs of events with no gap longer than `gap_seconds`: their size, and how often `most` events were reached in them."""
     w = Window.partitionBy(key).orderBy("ts", "seq")
-    new = F.coalesce((F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) > gap_seconds * 1_000_000).cast("int"), F.lit(1))
+    new = F.coalesce((micros("ts") - micros(F.lag("ts").over(w)) > gap_seconds * 1_000_000).cast("int"), F.lit(1))
     runs = events.withColumn("_new", new).withColumn("run", F.sum("_new").over(w))
     return runs.groupBy(key, "run").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")).withColumn("full", F.floor(F.col("n") / most).cast("long"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larchway.functions.expressions import parse_duration
+from larchway.functions.expressions import micros, parse_duration
 
 #: Chains this long are copied by a fork instead of shared; seconds until a claim to delete is stale.
 SHARE_BOUND, STALE_CLAIM = 16, 30
@@ -16,19 +16,19 @@ def lease_live(now: Column) -> Column:
 
 
 def reap_deadline() -> Column:
-    """Last activity or lease expiry, the later, and the time to live; null where there is none."""
+    """Microseconds of the last activity or the lease expiry, the later, and the time to live; null where there is none."""
     seconds = parse_duration(F.col("ttl"))
-    return F.when((seconds > 0) & F.col("touched_at").isNotNull(), F.timestamp_seconds(F.unix_micros(F.greatest("touched_at", "lease_expiry")) / 1e6 + seconds))
+    return F.when((seconds > 0) & F.col("touched_at").isNotNull(), micros(F.greatest("touched_at", "lease_expiry")) + (seconds * 1_000_000).cast("long"))
 
 
 def reap_eligible(refs: DataFrame, now: Column) -> DataFrame:
-    return refs.where(~F.col("protected") & (now >= reap_deadline()))
+    return refs.where(~F.col("protected") & (micros(now) >= reap_deadline()))
 
 
 def ttl_remaining(now: Column) -> Column:
     """'' without a deadline, 'expired', or whole seconds such as '90s'."""
-    left = F.floor((F.unix_micros(reap_deadline()) - F.unix_micros(now)) / 1e6).cast("long")
-    return F.when(reap_deadline().isNull(), "").when(now >= reap_deadline(), "expired").otherwise(F.concat(left.cast("string"), F.lit("s")))
+    left = F.floor((reap_deadline() - micros(now)) / 1_000_000).cast("long")
+    return F.when(reap_deadline().isNull(), "").when(micros(now) >= reap_deadline(), "expired").otherwise(F.concat(left.cast("string"), F.lit("s")))
 
 
 def leases(refs: DataFrame, now: Column) -> DataFrame:
@@ -46,7 +46,7 @@ def acquire(refs: DataFrame, holder: str, now: Column) -> DataFrame:
 
 def stale_claims(refs: DataFrame, now: Column, after: int = STALE_CLAIM) -> DataFrame:
     """Branches whose claim to delete is older than `after` seconds."""
-    return refs.where("deleting").where(F.unix_micros(now) - F.unix_micros("deleting_at") > after * 1_000_000)
+    return refs.where("deleting").where(micros(now) - micros("deleting_at") > after * 1_000_000)
 
 
 def destroy_guard(now: Column, force: bool = False) -> Column:
