@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Scalar functions as Column expressions."""

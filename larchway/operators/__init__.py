@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Relational operators: DataFrames in, DataFrames out; none touches storage."""

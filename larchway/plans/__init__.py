@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""The branchable store, test fixtures and the registered queries."""

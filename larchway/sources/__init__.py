@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Engine-level code: the ref catalog and its storage contract."""
