@@ -8,8 +8,8 @@ earlier line, by (document, line number), is equal or within the bound.
    no neighbours and go no further; the words of the others are fetched from the texts.
 3. Each of those emits the hash of the whole line and of every line with one word deleted. Two lines are within the
    bound exactly if one, whole, equals the other with a word deleted, or both are equal without the word at the same
-   place. The earliest place is aggregated for each key, before and after the shuffle, and joined back; no pairs are
-   listed, so a key of many lines costs a row for each.
+   place. Keys of a single line go; of the others the earliest place is aggregated, before and after the shuffle, and
+   joined back. No pairs are listed, so a key of many lines costs a row for each.
 4. The earliest neighbour found is verified on the words themselves.
 """
 
@@ -33,6 +33,21 @@ def two_hashes(words: Column) -> list[Column]:
     return [F.xxhash64(words), F.xxhash64(F.lit(17), words)]
 
 
+def variant_hashes(words: Column) -> Column:
+    """Hashes of the whole line and then of the line without each of its words.
+
+    A sequence's hash is the exclusive-or of the hashes of its words with their positions. Without word i the later ones
+    move up by one, so the variant is all words moved, without i, with the words before i put back.
+    """
+    xor = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda acc, v: acc.bitwiseXOR(v))
+    moved = F.transform(words, lambda w, i: F.xxhash64(w, i - 1))
+    back = F.transform(words, lambda w, i: F.xxhash64(w, i).bitwiseXOR(F.xxhash64(w, i - 1)))
+    parts = F.struct(moved.alias("m"), back.alias("b"), xor(moved).alias("all"))
+    without = lambda p: F.transform(p["m"], lambda m, i: p["all"].bitwiseXOR(m).bitwiseXOR(xor(F.slice(p["b"], F.lit(1), i))))
+    per = F.transform(F.array(parts), lambda p: F.concat(F.array(p["all"].bitwiseXOR(xor(p["b"]))), without(p)))
+    return F.element_at(per, 1)
+
+
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, line_no, line) of all lines; a null id counts as the smallest."""
     doc = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("doc")
@@ -65,18 +80,16 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
     w1, w2 = two_hashes(F.col("words"))
     texts = scratch.table(found.where((w1 == F.col("h1")) & (w2 == F.col("h2"))).select("h1", "h2", F.struct("doc", "line_no").alias("first"), "words").dropDuplicates(["h1", "h2"]), "texts")
 
-    n = F.size("words")
-    at = F.explode(F.sequence(F.lit(0), n)).alias("gone")  # 0: the whole line; else the word deleted
-    left = F.when(F.col("gone") == 0, F.col("words")).otherwise(F.concat(F.slice("words", F.lit(1), F.greatest(F.col("gone") - 1, F.lit(0))), F.slice("words", F.col("gone") + 1, F.greatest(n - F.col("gone"), F.lit(0)))))
-    variants = texts.select("h1", "h2", "first", "words", at).withColumn("left", left)
-    k1, k2 = two_hashes(F.col("left"))
-    variants = scratch.table(variants.select("h1", "h2", "first", "gone", k1.alias("k1"), k2.alias("k2")), "variants")
-
-    least = variants.groupBy("k1", "k2", "gone").agg(F.min("first").alias("least"))
-    whole, cut = least.where("gone = 0"), least.where("gone > 0")
-    shorter = variants.where("gone > 0").join(whole.select("k1", "k2", "least"), ["k1", "k2"])
-    longer = variants.where("gone = 0").join(cut.groupBy("k1", "k2").agg(F.min("least").alias("least")), ["k1", "k2"])
-    same = variants.where("gone > 0").join(cut, ["k1", "k2", "gone"])
+    variants = scratch.table(texts.select("h1", F.posexplode(variant_hashes(F.col("words"))).alias("gone", "k")), "variants")
+    met = variants.groupBy("k").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("k")
+    hits = scratch.table(variants.join(met, "k", "left_semi"), "hits")
+    hits = hits.join(texts.select("h1", "h2", "first"), "h1")
+
+    least = scratch.table(hits.groupBy("k", "gone").agg(F.min("first").alias("least")), "least")
+    whole, cut = least.where("gone = 0").drop("gone"), least.where("gone > 0")
+    shorter = hits.where("gone > 0").join(whole, "k")
+    longer = hits.where("gone = 0").join(cut.groupBy("k").agg(F.min("least").alias("least")), "k")
+    same = hits.where("gone > 0").join(cut, ["k", "gone"])
     sides = [d.where(F.col("least") < F.col("first")).select("h1", "h2", "least") for d in (shorter, longer, same)]
     witness = sides[0].union(sides[1]).union(sides[2]).groupBy("h1", "h2").agg(F.min("least").alias("least"))
 
@@ -87,7 +100,7 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
     rest = lambda c, skip: F.slice(c, F.col("p") + 1 + skip, F.greatest(F.size(c) - F.col("p") - skip, F.lit(0)))
     within = ((F.col("d") == 0) & (rest("words", 1) == rest("o", 1))) | ((F.col("d") == 1) & (rest("words", 1) == rest("o", 0))) | ((F.col("d") == -1) & (rest("words", 0) == rest("o", 1)))
     verified = scratch.table(pairs.where(within).select("h1", "h2", F.lit(True).alias("near")), "verified")
-    scratch.drop("near", "texts", "variants")
+    scratch.drop("near", "texts", "variants", "hits", "least")
 
     places = classes.select("h1", "h2", "first").join(verified, ["h1", "h2"], "left")
     go = lines.join(places, ["h1", "h2"]).where((F.col("first") < place) | F.coalesce("near", F.lit(False)))
