@@ -4,16 +4,17 @@ Documents with the same set form a class; the join runs over classes. For sets o
 length n - ceil(t n) + 1 share a token under every global order of tokens. The three orders here all put frequent
 tokens last, by a class of frequency, and differ in the hash that orders tokens inside a class.
 
-1. One pass over the texts finds each row's class and counts all tokens of all rows in 2^26 cells of the hash space, a
-   table of fixed size. From it come the frequency classes, which only steer the order: any order is exact.
-2. A second pass emits the prefix tokens under the first order. Of the classes that meet in a token, each is paired
-   with one leader, so a token shared by m classes gives m - 1 pairs, and these are verified.
+1. One pass over the texts stores each row's class and set, the latter as 48-bit hashes. All tokens are counted in 2^26
+   cells of the hash space, a table of fixed size, which gives the frequency classes; these only steer the order: any
+   order is exact.
+2. The prefix tokens under the first order are emitted. Most occur once; a bitmap of hash cells that hold two or
+   more of them lets the others go before the shuffle. Of the classes that meet in a token, each is paired
+   with two leaders, so a token shared by m classes gives less than 2 m pairs, and these are verified.
 3. Their components are found. Classes that meet in a token and are not yet in the same component are paired in full
    and verified: a link inside a component can change nothing.
 
 Pairs are candidates only if their prefixes under the second and the third order meet as well; this is tested on the
-prefixes alone, before any set moves. Sets are read by a third pass over the texts, for classes in some pair only,
-which a bitmap of fixed size selects.
+prefixes alone, before any set moves. Sets move for classes in some pair only, which a bitmap of fixed size selects.
 """
 
 from __future__ import annotations
@@ -30,8 +31,12 @@ from pyspark.sql import functions as F
 from larchway.llm.common import Memo, Scratch, once, text_or_empty
 from larchway.llm.components import connected_components
 
+#: Bits of a token's hash that are stored and compared.
+TOKEN_BITS = 48
 CELL_BITS, RANGE_BITS = 26, 10
 LOW_BITS = CELL_BITS - RANGE_BITS
+#: The bitmap of cells in which prefix tokens meet has four cells a posting, within these bounds (128 MB at most).
+MEET_BITS = (20, 30)
 #: Above the mean of cells and eight deviations: where the frequency classes 1, 2 and 3 begin.
 STEPS = (8, 64, 512)
 _words = re.compile(rb"[^\x20\x09-\x0D]+").findall
@@ -48,7 +53,7 @@ def mix(h: np.ndarray, seed: int) -> np.ndarray:
 
 def shingles(text: str, size: int) -> np.ndarray:
     """The distinct n-grams of a text as sorted 64-bit hashes; with fewer words, the whole sequence as one."""
-    memo = once("words", lambda: Memo(xxhash.xxh3_64_intdigest, 500_000))
+    memo = once("words", lambda: Memo(xxhash.xxh3_64_intdigest, 250_000))
     memo.trim()
     words = _words(text.encode("utf-8", "surrogatepass").lower())  # lowers A-Z only
     if not words:
@@ -70,46 +75,68 @@ def class_of(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - 2**63
 
 
-def _texts(docs: DataFrame, key: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty().alias("text"))
+def packed(h: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted 64-bit hashes, six bytes each."""
+    return np.ascontiguousarray((h >> np.uint64(64 - TOKEN_BITS)).view(np.uint8).reshape(-1, 8)[:, : TOKEN_BITS // 8]).tobytes()
 
 
-def _rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            yield doc_id, shingles(text.as_py(), size)
+def unpacked(blob) -> np.ndarray:
+    out = np.zeros((len(blob) * 8 // TOKEN_BITS, 8), np.uint8)
+    out[:, : TOKEN_BITS // 8] = np.frombuffer(blob, np.uint8).reshape(-1, TOKEN_BITS // 8)
+    return out.reshape(-1).view("<u8")
 
 
 def survey(docs: DataFrame, key: str, size: int) -> DataFrame:
-    """Rows of two kinds: (doc_id, class, n) of a document; (range, cells) with the low bits of a range's tokens."""
-    schema = pa.schema([("doc_id", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("range", pa.int32()), ("cells", pa.binary())])
+    """doc_id, class, n and tokens of each row; tokens only where the task has not met the class lately."""
+    schema = pa.schema([("doc_id", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, classes, ns, tokens, held = [], [], [], [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal ids, classes, ns, tokens, held
-            none = pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array(ns, pa.int32()), *none], schema=schema)
-            cells = np.sort(np.concatenate(tokens) >> np.uint64(64 - CELL_BITS)) if tokens else np.zeros(0, np.uint64)
-            cuts = np.searchsorted(cells, np.arange((1 << RANGE_BITS) + 1, dtype=np.uint64) << np.uint64(LOW_BITS))
-            low = (cells & np.uint64((1 << LOW_BITS) - 1)).astype("<u2")
-            full = [r for r in range(1 << RANGE_BITS) if cuts[r] < cuts[r + 1]]
-            blank = [pa.nulls(len(full), t) for t in (pa.int64(), pa.int64(), pa.int32())]
-            yield pa.RecordBatch.from_arrays([*blank, pa.array(full, pa.int32()), pa.array([low[cuts[r] : cuts[r + 1]].tobytes() for r in full], pa.binary())], schema=schema)
-            ids, classes, ns, tokens, held = [], [], [], [], 0
-
-        for doc_id, h in _rows(batches, size):
-            ids.append(doc_id)
-            classes.append(class_of(h) if len(h) else None)
-            ns.append(len(h))
-            tokens.append(h)
-            held += len(h)
-            if held > 4_000_000:
-                yield from flush()
-        yield from flush()
-
-    return _texts(docs, key).mapInArrow(run, "doc_id bigint, class bigint, n int, range int, cells binary")
+        seen: set[int] = set()
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part, rows = batch.slice(at, 512), []
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    h = shingles(text.as_py(), size)
+                    c = class_of(h) if len(h) else None
+                    rows.append((doc_id, c, len(h), None if c is None or c in seen else packed(h)))
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.add(c)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id bigint, class bigint, n int, tokens binary")
+
+
+def ranges_of(values: np.ndarray, low: int, kind: str) -> tuple[list[int], list[bytes]]:
+    """Sorted cell numbers by range: the ranges that have some, and the low bits of those in each."""
+    values = np.sort(values)
+    cuts = np.searchsorted(values, np.arange((1 << RANGE_BITS) + 1, dtype=np.uint64) << np.uint64(low))
+    part = (values & np.uint64((1 << low) - 1)).astype(kind)
+    full = [r for r in range(1 << RANGE_BITS) if cuts[r] < cuts[r + 1]]
+    return full, [part[cuts[r] : cuts[r + 1]].tobytes() for r in full]
+
+
+def cells_of(sets: DataFrame) -> DataFrame:
+    """(range, cells): the low bits of the cells of a range's tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            full, blobs = ranges_of(np.concatenate(held) >> np.uint64(TOKEN_BITS - CELL_BITS), LOW_BITS, "<u2")
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=["range", "cells"])
+
+        for batch in batches:
+            for blob in batch.column(0):
+                held.append(unpacked(blob.as_buffer()))
+                size += len(held[-1])
+                if size > 2_000_000:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return sets.select("tokens").mapInArrow(run, "range int, cells binary")
 
 
 def frequency_table(cells: DataFrame, total: int, spread: int) -> np.ndarray:
@@ -157,7 +184,7 @@ def bitmap(ids: DataFrame) -> np.ndarray:
 
 def ordered(h: np.ndarray, table: np.ndarray, seed: int) -> np.ndarray:
     """Positions in a global order: frequency class first, then a hash."""
-    cell = (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+    cell = (h >> np.uint64(TOKEN_BITS - CELL_BITS)).astype(np.int64)
     code = (table[cell >> 2] >> ((cell & 3) << 1).astype(np.uint8) & 3).astype(np.uint64)
     return code << np.uint64(62) | mix(h, seed) >> np.uint64(2)
 
@@ -168,75 +195,111 @@ def prefix(h: np.ndarray, table: np.ndarray, seed: int, percent: int) -> np.ndar
     return np.argpartition(place, p - 1)[:p] if p < len(h) else np.arange(len(h))
 
 
-def postings(docs: DataFrame, key: str, size: int, percent: int, table) -> DataFrame:
-    """(token, class, n) of the prefix under the first order; a class that a task has met before is left out."""
-    schema = pa.schema([("token", pa.int64()), ("class", pa.int64()), ("n", pa.int32())])
+def postings(sets: DataFrame, percent: int, table) -> DataFrame:
+    """Rows of two kinds: (token, class, n) of the prefix under the first order; (class, second, third) with the prefixes
+    under the other orders as 32-bit values."""
+    schema = pa.schema([("token", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("second", pa.list_(pa.int32())), ("third", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, seen = np.frombuffer(table.value, np.uint8), set()
-        tokens, classes, ns, held = [], [], [], 0
+        codes = np.frombuffer(table.value, np.uint8)
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                first, others = [], ([], [])
+                for blob in part.column(2):
+                    h = unpacked(blob.as_buffer())
+                    first.append(h[prefix(h, codes, 1, percent)])
+                    for seed, out in zip((2, 3), others, strict=True):
+                        out.append((h[prefix(h, codes, seed, percent)] >> np.uint64(8)).astype(np.uint32).view(np.int32))
+                lens = [len(t) for t in first]
+                every = np.concatenate(first)
+                none = pa.nulls(len(every), pa.list_(pa.int32()))
+                owner, n = (np.repeat(part.column(i).to_numpy(), lens) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(owner), pa.array(n), none, none], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), part.column(0), part.column(1), *(pa.array(o, pa.list_(pa.int32())) for o in others)], schema=schema)
+
+    return sets.select("class", "n", "tokens").mapInArrow(run, "token bigint, class bigint, n int, second array<int>, third array<int>")
+
+
+def meeting(found: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """A bit for each cell of the hash space that holds two or more postings, and the bits of a cell's number."""
+    bits = min(max((4 * n).bit_length(), MEET_BITS[0]), MEET_BITS[1])
+    low = bits - RANGE_BITS
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            lens = [len(t) for t in tokens]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), lens)), pa.array(np.repeat(np.array(ns, np.int32), lens))], schema=schema)
-
-        for _, h in _rows(batches, size):
-            if not len(h) or (c := class_of(h)) in seen:
-                continue
-            if len(seen) > 500_000:
-                seen.clear()
-            seen.add(c)
-            tokens.append(h[prefix(h, codes, 1, percent)])
-            classes.append(c)
-            ns.append(len(h))
-            held += len(tokens[-1])
-            if held > 200_000:
+            full, blobs = ranges_of(np.concatenate(held), low, "<u4")
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=["range", "cells"])
+
+        for batch in batches:
+            held.append(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(TOKEN_BITS - bits))
+            if len(held) > 150:
                 yield flush()
-                tokens, classes, ns, held = [], [], [], 0
-        if tokens:
+        if held:
             yield flush()
 
-    return _texts(docs, key).mapInArrow(run, "token bigint, class bigint, n int")
+    def whole(table: pa.Table) -> pa.Table:
+        once_, twice = np.zeros(1 << low, bool), np.zeros(1 << low, bool)
+        for blob in table.column("cells"):
+            c = np.frombuffer(blob.as_buffer(), "<u4")
+            twice[c[once_[c]]] = True
+            twice[c[1:][c[1:] == c[:-1]]] = True
+            once_[c] = True
+        return pa.table({"range": table.column("range")[:1], "bits": pa.array([np.packbits(twice).tobytes()], pa.binary())})
+
+    out = np.zeros(1 << bits - 3, np.uint8)
+    width = 1 << low - 3
+    parts = found.select("token").mapInArrow(cells, "range int, cells binary").groupBy("range").applyInArrow(lambda _, t: whole(t), "range int, bits binary")
+    for row in parts.toLocalIterator():
+        out[row["range"] * width : (row["range"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
+    return out, bits
 
 
-def sets_of(docs: DataFrame, key: str, size: int, percent: int, table, chosen) -> DataFrame:
-    """(class, n, second, third, tokens) of the classes in the bitmap; copies may appear once for each task."""
-    schema = pa.schema([("class", pa.int64()), ("second", pa.list_(pa.int32())), ("third", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int64()))])
+def only_meeting(found: DataFrame, meet, bits: int) -> DataFrame:
+    """Postings whose cell holds another: all that share their token, and few that don't."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, bits, seen, rows, held = np.frombuffer(table.value, np.uint8), np.frombuffer(chosen.value, np.uint8), set(), [], 0
+        table = np.frombuffer(meet.value, np.uint8)
+        for batch in batches:
+            cell = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(TOKEN_BITS - bits)).astype(np.int64)
+            yield batch.filter(pa.array((table[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)))
 
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
-
-        for _, h in _rows(batches, size):
-            if not len(h) or (c := class_of(h)) in seen:
-                continue
-            cell = (c % 2**64) >> 64 - CELL_BITS
-            if not bits[cell >> 3] >> (7 - (cell & 7)) & 1:
-                continue
-            if len(seen) > 500_000:
-                seen.clear()
-            seen.add(c)
-            rows.append((c, *((h[prefix(h, codes, seed, percent)] >> np.uint64(32)).astype(np.uint32).view(np.int32) for seed in (2, 3)), h.view(np.int64)))
-            held += len(h)
-            if held > 200_000:
-                yield flush()
-                rows, held = [], 0
-        if rows:
-            yield flush()
+    return found.mapInArrow(run, found.schema)
+
+
+def chosen_sets(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(class, tokens) of the classes in `pairs(a, b)` and of a few others, whose bit in the bitmap is set too."""
+    chosen = sets.sparkSession.sparkContext.broadcast(bitmap(pairs.select(F.explode(F.array("a", "b")).alias("class"))).tobytes())
 
-    return _texts(docs, key).mapInArrow(run, "class bigint, second array<int>, third array<int>, tokens array<bigint>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(chosen.value, np.uint8)
+        for batch in batches:
+            cell = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+            part = batch.filter(pa.array((bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)))
+            for at in range(0, len(part), 256):
+                few = part.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([few.column(0), pa.array([unpacked(b.as_buffer()).view(np.int64) for b in few.column(1)], pa.list_(pa.int64()))], names=["class", "tokens"])
+
+    return sets.select("class", "tokens").mapInArrow(run, "class bigint, tokens array<bigint>").dropDuplicates(["class"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, orders: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, tag: str) -> DataFrame:
     """The pairs (a, b) whose prefixes meet under the second and third order and whose sets are similar enough."""
-    orders, tokens = sets.select("class", "second", "third"), sets.select("class", "tokens")
     side = lambda df, s: df.select(*[F.col(c).alias(s if c == "class" else f"{s}_{c}") for c in df.columns])
-    close = pairs.join(side(orders, "a"), "a").join(side(orders, "b"), "b").where(F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third")).select("a", "b")
+    close = pairs.join(side(orders, "a"), "a").join(side(orders, "b"), "b").where(F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third"))
+    close = scratch.table(close.select("a", "b"), f"{tag}-close")
+    if close.isEmpty():
+        return close
+    tokens = scratch.table(chosen_sets(sets, close), f"{tag}-tokens")
     both = close.join(side(tokens, "a"), "a").join(side(tokens, "b"), "b")
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    return both.withColumn("_shared", shared).where(100 * F.col("_shared") >= percent * (F.size("a_tokens") + F.size("b_tokens") - F.col("_shared"))).select("a", "b")
+    both = both.withColumn("_shared", shared).where(100 * F.col("_shared") >= percent * (F.size("a_tokens") + F.size("b_tokens") - F.col("_shared"))).select("a", "b")
+    out = scratch.table(both, f"{tag}-links")
+    scratch.drop(f"{tag}-tokens", f"{tag}-close")
+    return out
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", size: int = 4, percent: int = 85) -> DataFrame:
@@ -250,21 +313,28 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", size: int = 4, perc
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     surveyed = scratch.table(survey(docs, key, size), "survey")
-    rows = surveyed.where("range IS NULL").select("doc_id", "class", "n")
+    rows, sets = surveyed.select("doc_id", "class", "n"), surveyed.where("tokens IS NOT NULL").select("class", "n", "tokens")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    codes = frequency_table(surveyed.where("range IS NOT NULL").select("range", "cells"), total, 1 + total // (1 << 34))
+    codes = frequency_table(cells_of(sets), total, 1 + total // (1 << 34))
     table = spark.sparkContext.broadcast(codes.tobytes())
 
-    found = scratch.table(postings(docs, key, size, percent, table), "postings")
-    similar = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("class") != F.col("lead"))
-    lead = found.groupBy("token").agg(F.min(F.struct("class", "n")).alias("least"), F.max("class").alias("last")).where("least.class <> last").select("token", F.col("least.class").alias("lead"), F.col("least.n").alias("m"))
-    stars = scratch.table(found.join(lead, "token").where(similar).select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct(), "stars")
-    shared = found.join(lead.select("token"), "token", "left_semi")
-    shared = scratch.table(shared.distinct(), "shared")
+    both = scratch.table(postings(sets, percent, table), "postings")
+    every, orders = both.where("token IS NOT NULL").select("token", "class", "n"), both.where("token IS NULL").select("class", "second", "third")
+    cells, bits = meeting(every, every.count())
+    meet = spark.sparkContext.broadcast(cells.tobytes())
+    found = scratch.table(only_meeting(every, meet, bits).distinct(), "meeting")
+    orders = scratch.table(orders.join(found.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"]), "orders")
+    meet.destroy()
     scratch.drop("postings")
-    chosen = spark.sparkContext.broadcast(bitmap(shared.select("class").distinct()).tobytes())
-    sets = scratch.table(sets_of(docs, key, size, percent, table, chosen).dropDuplicates(["class"]), "sets")
-    links = scratch.table(verified(stars, sets, percent), "links")
+    similar = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("class") != F.col("lead"))
+    lead = found.groupBy("token").agg(F.min("class").alias("lead"), F.max("class").alias("last")).where("lead <> last")
+    shared = scratch.table(found.join(lead, "token"), "shared")
+    sizes = found.select(F.col("class").alias("lead"), F.col("n").alias("m")).distinct()
+    ends = shared.select("class", "n", F.explode(F.array("lead", "last")).alias("lead")).distinct()
+    stars = ends.join(sizes, "lead").where(similar).select(F.least("lead", "class").alias("a"), F.greatest("lead", "class").alias("b")).distinct()
+    stars = scratch.table(stars, "stars")
+    scratch.drop("meeting")
+    links = verified(stars, orders, sets, percent, scratch, "stars")
     near = connected_components(links, scratch, "near")
 
     labelled = scratch.table(shared.join(near.withColumnRenamed("id", "class"), "class", "left").select("token", "class", "n", F.coalesce("component", "class").alias("component")), "labelled")
@@ -273,8 +343,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", size: int = 4, perc
     other = open_.select("token", *[F.col(c).alias(f"o_{c}") for c in ("class", "n", "component")])
     pairs = open_.join(other, "token").where((F.col("component") < F.col("o_component")) & (100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n")))
     pairs = pairs.select(F.least("class", "o_class").alias("a"), F.greatest("class", "o_class").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = scratch.table(verified(scratch.table(pairs, "pairs"), sets, percent), "more")
-    scratch.drop("sets", "stars", "shared")
+    more = verified(scratch.table(pairs, "pairs"), orders, sets, percent, scratch, "pairs")
+    scratch.drop("orders", "stars", "shared", "labelled", "pairs")
     final = connected_components(links.union(more), scratch, "all")
 
     named = rows.join(final.withColumnRenamed("id", "class"), "class", "left").withColumn("group", F.coalesce("component", "class"))
