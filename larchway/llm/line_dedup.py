@@ -39,12 +39,16 @@ def variant_hashes(words: Column) -> Column:
     A sequence's hash is the exclusive-or of the hashes of its words with their positions. Without word i the later ones
     move up by one, so the variant is all words moved, without i, with the words before i put back.
     """
-    xor = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda acc, v: acc.bitwiseXOR(v))
+    zero = F.lit(0).cast("long")
     moved = F.transform(words, lambda w, i: F.xxhash64(w, i - 1))
     back = F.transform(words, lambda w, i: F.xxhash64(w, i).bitwiseXOR(F.xxhash64(w, i - 1)))
-    parts = F.struct(moved.alias("m"), back.alias("b"), xor(moved).alias("all"))
-    without = lambda p: F.transform(p["m"], lambda m, i: p["all"].bitwiseXOR(m).bitwiseXOR(xor(F.slice(p["b"], F.lit(1), i))))
-    per = F.transform(F.array(parts), lambda p: F.concat(F.array(p["all"].bitwiseXOR(xor(p["b"]))), without(p)))
+    # the running exclusive-or before each element, and the one of all
+    start = F.struct(zero.alias("x"), F.array().cast("array<bigint>").alias("before"))
+    running = lambda values: F.aggregate(values, start, lambda acc, v: F.struct(acc["x"].bitwiseXOR(v).alias("x"), F.concat(acc["before"], F.array(acc["x"])).alias("before")))
+    total = lambda values: F.aggregate(values, zero, lambda acc, v: acc.bitwiseXOR(v))
+    parts = F.struct(moved.alias("m"), total(moved).alias("all"), running(back).alias("b"))
+    without = lambda p: F.transform(p["m"], lambda m, i: p["all"].bitwiseXOR(m).bitwiseXOR(F.get(p["b"]["before"], i)))
+    per = F.transform(F.array(parts), lambda p: F.concat(F.array(p["all"].bitwiseXOR(p["b"]["x"])), without(p)))
     return F.element_at(per, 1)
 
 
