@@ -20,13 +20,16 @@ from pyspark.sql import functions as F
 
 from larchway.llm.common import Scratch, text_or_empty
 
-SEPARATORS = r"[\x20\x09-\x0D]+"
+#: The characters that separate words besides the space: tab, line feed, vertical tab, form feed, carriage return.
+OTHER_SPACES = "\t\n\x0b\x0c\r"
 #: Lines of fewer words are never removed: one edit would be a large part of them.
 LEAST_WORDS = 8
 
 
 def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, SEPARATORS), lambda w: w != "")
+    """The words of a line. A split at a single character needs no regular expression."""
+    spaces = F.when(line.rlike(r"[\x09-\x0D]"), F.translate(line, OTHER_SPACES, " " * len(OTHER_SPACES))).otherwise(line)
+    return F.array_remove(F.split(spaces, " "), "")
 
 
 def two_hashes(words: Column) -> list[Column]:
@@ -46,9 +49,13 @@ def variant_hashes(words: Column) -> Column:
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, line_no, line) of all lines; a null id counts as the smallest."""
+    """(doc, line_no, line_hash, words) of all lines; a null id counts as the smallest.
+
+    Words are split before the lines are exploded: a filter on them can't move below and split every line again.
+    """
     doc = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("doc")
-    return docs.select(doc, F.posexplode(F.split(text_or_empty(text), "\n")).alias("line_no", "line"))
+    pieces = F.transform(F.split(text_or_empty(text), "\n"), lambda line: F.struct(F.xxhash64(line).alias("line_hash"), words_of(line).alias("words")))
+    return docs.select(doc, F.posexplode(pieces).alias("line_no", "piece")).select("doc", "line_no", "piece.*")
 
 
 def _block_keys(words: Column, n: Column) -> Column:
@@ -61,9 +68,9 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
     """(doc, line_no, line_hash) of the lines that an earlier line makes redundant."""
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     place = F.struct("doc", "line_no")
-    long_ = _lines(docs, key, text).withColumn("words", words_of(F.col("line"))).withColumn("n", F.size("words")).where(F.col("n") >= least_words)
+    long_ = _lines(docs, key, text).withColumn("n", F.size("words")).where(F.col("n") >= least_words)
     h1, h2 = two_hashes(F.col("words"))
-    lines = scratch.table(long_.select("doc", "line_no", F.xxhash64("line").alias("line_hash"), h1.alias("h1"), h2.alias("h2"), _block_keys(F.col("words"), F.col("n")).alias("blocks")), "lines")
+    lines = scratch.table(long_.select("doc", "line_no", "line_hash", h1.alias("h1"), h2.alias("h2"), _block_keys(F.col("words"), F.col("n")).alias("blocks")), "lines")
 
     classes = scratch.table(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("blocks").alias("blocks")), "classes")
     blocks = classes.select("h1", "h2", "first", F.explode("blocks").alias("block"))
