@@ -99,8 +99,9 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
 
     other = texts.select(F.col("first").alias("least"), F.col("words").alias("o"))
     pairs = witness.join(texts, ["h1", "h2"]).join(other, "least").withColumn("d", F.size("words") - F.size("o"))
-    shared_start = F.size(F.filter(F.sequence(F.lit(1), F.least(F.size("words"), F.size("o"))), lambda i: F.slice("words", F.lit(1), i) == F.slice("o", F.lit(1), i)))
-    pairs = pairs.withColumn("p", shared_start)
+    # words that both lines start with; zip_with fills the shorter one up with nulls
+    differs = F.array_position(F.zip_with("words", "o", lambda a, b: a.eqNullSafe(b)), False).cast("int")
+    pairs = pairs.withColumn("p", F.when(differs > 0, differs - 1).otherwise(F.size("words")))
     rest = lambda c, skip: F.slice(c, F.col("p") + 1 + skip, F.greatest(F.size(c) - F.col("p") - skip, F.lit(0)))
     within = ((F.col("d") == 0) & (rest("words", 1) == rest("o", 1))) | ((F.col("d") == 1) & (rest("words", 1) == rest("o", 0))) | ((F.col("d") == -1) & (rest("words", 0) == rest("o", 1)))
     verified = scratch.table(pairs.where(within).select("h1", "h2", F.lit(True).alias("near")), "verified")
