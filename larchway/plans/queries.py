@@ -191,8 +191,8 @@ HEADS_SQL = "WITH t AS (SELECT 'x' || CAST(lineage AS VARCHAR) || '@' || CAST(k
 
 def head_targets(branches):
     back = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k")
-    few = branches.where("lineage < 400").select("lineage", "head_txid", back)
-    return few.select(F.concat(F.lit("x"), F.col("lineage").cast("string"), F.lit("@"), F.col("k").cast("string")).alias("id"), "lineage", F.greatest(F.col("head_txid") - F.col("k"), F.lit(0)).alias("target"))
+    all_ = branches.select("lineage", "head_txid", back)
+    return all_.select(F.concat(F.lit("x"), F.col("lineage").cast("string"), F.lit("@"), F.col("k").cast("string")).alias("id"), "lineage", F.greatest(F.col("head_txid") - F.col("k"), F.lit(0)).alias("target"))
 
 
 @query(("d_lin", "d_obj2", "d_ref"), HEADS_SQL + "m AS (SELECT * FROM d_obj2)," + CHAIN_SQL + " SELECT id, ok, length FROM vd", recursive=True)
@@ -233,7 +233,7 @@ mk AS (SELECT DISTINCT 'data/' || CAST(lineage AS VARCHAR) || '/' || CAST(epoch
 
 
 def marked(branches, checkpoints, bases, members):
-    targets = gc.marks(branches.where("lineage < 400"), checkpoints.where("lineage < 400"))
+    targets = gc.marks(branches, checkpoints)
     return gc.reachable(targets, bases, members.select("lineage", "is_snapshot", "min_txid", "max_txid", "epoch"))[0]
 
 
