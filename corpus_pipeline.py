@@ -31,8 +31,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines out that an earlier line makes redundant; a document with no word left goes. n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs)
+    """Takes lines out that an earlier line makes redundant, equal ones of any length but blank ones; a document with no word left goes. n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs, least_equal=1)
     left = F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return out.where((F.col("_n_removed") == 0) | left).select("doc_id", "text", "lang", "source", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long")).alias("n_chars"))
 

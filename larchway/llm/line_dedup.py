@@ -22,7 +22,7 @@ from larchway.llm.common import Scratch, text_or_empty
 
 #: The characters that separate words besides the space: tab, line feed, vertical tab, form feed, carriage return.
 OTHER_SPACES = "\t\n\x0b\x0c\r"
-#: Lines of fewer words are never removed: one edit would be a large part of them.
+#: Lines of fewer words have no near copies: one edit would be a large part of them.
 LEAST_WORDS = 8
 
 
@@ -64,13 +64,13 @@ def _block_keys(words: Column, n: Column) -> Column:
     return F.when(n < 16, F.array(*ends(4))).when(n > 16, F.array(*ends(8))).otherwise(F.array(*ends(4), *ends(8)))
 
 
-def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, scratch: Scratch | None = None) -> DataFrame:
+def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, scratch: Scratch | None = None, least_equal: int = LEAST_WORDS) -> DataFrame:
     """(doc, line_no, line_hash) of the lines that an earlier line makes redundant."""
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     place = F.struct("doc", "line_no")
-    long_ = _lines(docs, key, text).withColumn("n", F.size("words")).where(F.col("n") >= least_words)
+    long_ = _lines(docs, key, text).withColumn("n", F.size("words")).where(F.col("n") >= min(least_words, least_equal))
     h1, h2 = two_hashes(F.col("words"))
-    lines = scratch.table(long_.select("doc", "line_no", "line_hash", h1.alias("h1"), h2.alias("h2"), _block_keys(F.col("words"), F.col("n")).alias("blocks")), "lines")
+    lines = scratch.table(long_.select("doc", "line_no", "line_hash", h1.alias("h1"), h2.alias("h2"), F.when(F.col("n") >= least_words, _block_keys(F.col("words"), F.col("n"))).alias("blocks"), (F.col("n") >= least_equal).alias("equal")), "lines")
 
     classes = scratch.table(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("blocks").alias("blocks")), "classes")
     blocks = classes.select("h1", "h2", "first", F.explode("blocks").alias("block"))
@@ -108,20 +108,21 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
     scratch.drop("near", "texts", "variants", "hits", "least")
 
     places = classes.select("h1", "h2", "first").join(verified, ["h1", "h2"], "left")
-    go = lines.join(places, ["h1", "h2"]).where((F.col("first") < place) | F.coalesce("near", F.lit(False)))
+    go = lines.join(places, ["h1", "h2"]).where((F.col("equal") & (F.col("first") < place)) | F.coalesce("near", F.lit(False)))
     return go.select("doc", "line_no", "line_hash")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, least_equal: int = LEAST_WORDS) -> DataFrame:
     """`docs` with its redundant lines taken out of `text`, and `_n_lines`, `_n_removed`.
 
-    Lines end at line feeds; lines of fewer than `least_words` words stay. The earliest line stays, whether or not it is
-    near a still earlier one's neighbour: a line goes if any earlier line is within one word of it. A null text stays
+    Lines end at line feeds. A line of `least_equal` words or more goes if an earlier one has the same words, one of
+    `least_words` or more also if an earlier one is near. The earliest line stays, whether or not it is
+    near a still earlier one's neighbour: near is any earlier line within one word of it. A null text stays
     null. Rows with the same id and text are one document and lose the same lines; a null id counts as the smallest.
     Other columns are kept, whatever their names. An empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    gone = removed_lines(docs, key, text, least_words, scratch)
+    gone = removed_lines(docs, key, text, least_words, scratch, least_equal)
     gone = scratch.table(gone.groupBy("doc").agg(F.collect_set(F.xxhash64("line_no", "line_hash")).alias("_gone")), "gone")
     scratch.drop("lines", "classes", "verified")
     doc = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))

@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from larchway.operators import chain
 from larchway.plans import queries
 
@@ -50,3 +51,12 @@ def test_every_lineage_is_resolved_and_marked(spark):
     stones = d_key.selectExpr("key", "TIMESTAMP_NTZ '1999-01-01 00:00:00' AS marked_at")
     verdicts = {r["key"]: r["verdict"] for r in queries.gc_sweep_verdict(d_ref, d_cp, d_lin, d_obj, d_key, stones).collect()}
     assert {k for k, v in verdicts.items() if v == "rescued"} == live
+
+
+def test_pipeline_removes_equal_lines_of_any_length(spark):
+    long_ = " ".join(f"w{i}" for i in range(12))
+    docs = [(1, f"short line\n\n{long_}\nx"), (2, f"keep\nshort  line\n\n{long_} more"), (3, "short line"), (4, "short lines\n\nx"), (None, "keep me")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.dedup_lines(spark, df, "").collect()}
+    want = {1: docs[0][1], 2: "keep\n", 4: "short lines\n", None: "keep me"}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
