@@ -38,10 +38,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates; a null id has no group and stays."""
-    groups = jaccard.jaccard_components(docs, size=SHINGLE, percent=PERCENT)
-    others = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one row of each group of near duplicates: the one with the smallest id, a null id last; of equal ids, the first.
+
+    Ids may repeat or be null, so rows are numbered and grouped by their numbers, which are written to stay as they are.
+    """
+    rows = Scratch(spark, "numbered").table(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "rows")
+    groups = jaccard.jaccard_components(rows, key="_row", size=SHINGLE, percent=PERCENT)
+    members = groups.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row")
+    stays = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
+    return rows.join(stays, "_row", "left_semi").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
