@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Transaction numbers in a block of the checksum chain.
+BLOCK = 1024
+
 
 def latest(log: DataFrame, keys: Sequence[str], order: Sequence[str] = ("txid", "seq")) -> DataFrame:
     """The last change of each key. The rank limit prunes inside map tasks, so a hot key ships one row a task."""
@@ -73,14 +76,18 @@ def checksum_chain(log: DataFrame, keys: Sequence[str], payload: str = "payload"
     """(txid, checksum) after each transaction, folded from old and new row hashes.
 
     Each change contributes the hash of what it replaces and of what it writes; the xor over a transaction takes the
-    state from before to after. Transactions, not rows, are folded in order.
+    state from before to after. Transactions, not rows, are folded in order: in blocks of BLOCK numbers side by side, on
+    top of what the blocks before come to, so only a row for each block meets in one task.
     """
     written = last_in_transaction(log, keys)
     new = F.when(F.col(op) != "D", row_hash(*keys, payload)).otherwise(F.lit(0).cast("long"))
     old = F.coalesce(F.lag("_new").over(Window.partitionBy(*keys).orderBy("txid")), F.lit(0).cast("long"))
     per = written.withColumn("_new", new).withColumn("_step", F.col("_new").bitwiseXOR(old)).groupBy("txid").agg(F.bit_xor("_step").alias("_step"))
-    run = F.bit_xor("_step").over(Window.orderBy("txid").rowsBetween(Window.unboundedPreceding, 0))
-    return per.select("txid", run.alias("checksum"))
+    per = per.withColumn("_block", F.floor(F.col("txid") / BLOCK).cast("long"))
+    before = F.bit_xor("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = per.groupBy("_block").agg(F.bit_xor("_step").alias("_sum")).select("_block", F.coalesce(before, F.lit(0).cast("long")).alias("_before"))
+    run = F.bit_xor("_step").over(Window.partitionBy("_block").orderBy("txid").rowsBetween(Window.unboundedPreceding, 0))
+    return per.select("txid", "_block", run.alias("_run")).join(blocks, "_block").select("txid", F.col("_run").bitwiseXOR(F.col("_before")).alias("checksum"))
 
 
 def flush_kinds(log: DataFrame, cadence: int, every: int, least_pages: int = 64, fraction: float = 0.5) -> DataFrame:

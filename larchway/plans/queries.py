@@ -101,6 +101,53 @@ def checksum_incremental(log):
     return replay.checksum_chain(log.where("txid <= 60"), ["pgno"])
 
 
+def whole_log(fn):
+    """Registers fn(log, last) over all transactions, without an oracle: in SQL the chain is quadratic. Tests use brute force."""
+    QUERIES[fn.__name__] = lambda spark, sf_dir: over_all(fn, *frames(spark, sf_dir, "d_log"))
+    return fn
+
+
+def over_all(fn, log):
+    last = log.agg(F.coalesce(F.max("txid"), F.lit(0))).first()[0]
+    return fn(log, last)
+
+
+@whole_log
+def checksum_incremental_whole(log, last):
+    return replay.checksum_chain(log, ["pgno"])
+
+
+@whole_log
+def asof_replay_whole(log, last):
+    return replay.asof(log, ["pgno"], last).select("pgno", "payload", "txid")
+
+
+@whole_log
+def asof_replay_maxby_whole(log, last):
+    return replay.asof_max_by(log, ["pgno"], last).select("pgno", "payload", "txid")
+
+
+@whole_log
+def asof_replay_antijoin_whole(log, last):
+    snapshot = replay.asof(log, ["pgno"], last // 2)
+    return replay.asof_anti(snapshot, log.where(F.col("txid") > last // 2), ["pgno"]).select("pgno", "payload", "txid")
+
+
+@whole_log
+def replay_deletes_whole(log, last):
+    return replay.latest(log, ["pgno"]).where("op = 'D'").select("pgno")
+
+
+@whole_log
+def replay_truncate_whole(log, last):
+    return replay.pages_asof(log, last).select("pgno", "payload", "txid")
+
+
+@whole_log
+def checksum_full_whole(log, last):
+    return replay.checksum(replay.asof(log, ["pgno"], last), "pgno", "payload")
+
+
 @query(("d_log",), "SELECT txid, pgno, arg_max(payload, seq) AS payload FROM d_log WHERE seq < (SELECT max(seq) FROM d_log) AND txid IN (SELECT txid FROM d_log WHERE is_commit AND seq < (SELECT max(seq) FROM d_log)) GROUP BY txid, pgno")
 def txn_commit_groups(log):
     torn = log.join(F.broadcast(log.agg(F.max("seq").alias("m"))), F.col("seq") < F.col("m")).drop("m")

@@ -1,5 +1,6 @@
 """Queries over the whole of their inputs, where the registered SQL stops at a fixed part of them."""
 
+import hashlib
 import random
 
 import corpus_pipeline
@@ -69,3 +70,27 @@ def test_pipeline_keeps_one_row_of_a_group(spark):
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.dedup_documents(spark, df, "").collect()]
     assert sorted(got, key=str) == sorted([(1, a), (None, b), (3, c), (3, d), (5, None), (6, None)], key=str)
+
+
+def test_whole_log(spark):
+    """Transactions far beyond 60, over several blocks of the checksum chain, against a plain loop."""
+    rng = random.Random(11)
+    rows = [(t, 3 * i + k, rng.randrange(1, 30), rng.choice("UUD"), str(rng.random()), k == 2, rng.randint(5, 40)) for i, t in enumerate(sorted(rng.sample(range(2, 5000), 150))) for k in range(3)]
+    log = spark.createDataFrame(rows, "txid long, seq long, pgno long, op string, payload string, is_commit boolean, commit_size long")
+    digest = lambda pgno, payload: int(hashlib.md5(f"{pgno}|{payload}".encode()).hexdigest()[:15], 16)
+    last, chain_ = {}, {}
+    for t, _, pgno, op, payload, _, _ in rows:
+        last[pgno] = (op, payload, t)
+        total = 0
+        for k, (o, p, _) in last.items():
+            total ^= digest(k, p) if o != "D" else 0
+        chain_[t] = total
+    alive = sorted((k, p, t) for k, (o, p, t) in last.items() if o != "D")
+    get = lambda fn: sorted(map(tuple, queries.over_all(fn, log).collect()))
+    assert get(queries.checksum_incremental_whole) == sorted(chain_.items()) and len({t // 1024 for t in chain_}) > 3
+    for fn in (queries.asof_replay_whole, queries.asof_replay_maxby_whole, queries.asof_replay_antijoin_whole):
+        assert get(fn) == alive
+    assert get(queries.replay_deletes_whole) == sorted((k,) for k, (o, _, _) in last.items() if o == "D")
+    least = lambda t: min(size for u, _, _, _, _, commit, size in rows if commit and u >= t)
+    assert get(queries.replay_truncate_whole) == sorted((k, p, t) for k, (_, p, t) in last.items() if k <= least(t))
+    assert get(queries.checksum_full_whole) == [(chain_[rows[-1][0]], len(alive))]
