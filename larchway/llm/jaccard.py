@@ -10,8 +10,9 @@ tokens last, by a class of frequency, and differ in the hash that orders tokens
 2. The prefix tokens under the first order are emitted. Most occur once; a bitmap of hash cells that hold two or
    more of them lets the others go before the shuffle. Of the classes that meet in a token, each is paired
    with two leaders, so a token shared by m classes gives less than 2 m pairs, and these are verified.
-3. Their components are found. Classes that meet in a token and are not yet in the same component are paired in full
-   and verified: a link inside a component can change nothing.
+3. Their components are found. Classes that meet in a token of at most 16 classes and are not yet in the same component
+   are paired in full: a link inside a component can change nothing. Classes that meet in a token of more are joined
+   anew among themselves, see `dense_links`, with exact counts of their tokens.
 
 Pairs are candidates only if their prefixes under the second and the third order meet as well; this is tested on the
 prefixes alone, before any set moves. Sets move for classes in some pair only, which a bitmap of fixed size selects.
@@ -37,6 +38,8 @@ CELL_BITS, RANGE_BITS = 26, 10
 LOW_BITS = CELL_BITS - RANGE_BITS
 #: The bitmap of cells in which prefix tokens meet has four cells a posting, within these bounds (128 MB at most).
 MEET_BITS = (20, 30)
+#: Tokens in which at most so many classes meet pair them all; more are joined by `dense_links`.
+LIGHT = 16
 #: Above the mean of cells and eight deviations: where the frequency classes 1, 2 and 3 begin.
 STEPS = (8, 64, 512)
 _words = re.compile(rb"[^\x20\x09-\x0D]+").findall
@@ -270,9 +273,9 @@ def only_meeting(found: DataFrame, meet, bits: int) -> DataFrame:
     return found.mapInArrow(run, found.schema)
 
 
-def chosen_sets(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(class, tokens) of the classes in `pairs(a, b)` and of a few others, whose bit in the bitmap is set too."""
-    chosen = sets.sparkSession.sparkContext.broadcast(bitmap(pairs.select(F.explode(F.array("a", "b")).alias("class"))).tobytes())
+def chosen_sets(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(class, tokens) of the classes in `ids(class)` and of a few others, whose bit in the bitmap is set too."""
+    chosen = sets.sparkSession.sparkContext.broadcast(bitmap(ids).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(chosen.value, np.uint8)
@@ -293,7 +296,8 @@ def verified(pairs: DataFrame, orders: DataFrame, sets: DataFrame, percent: int,
     close = scratch.table(close.select("a", "b"), f"{tag}-close")
     if close.isEmpty():
         return close
-    tokens = scratch.table(chosen_sets(sets, close), f"{tag}-tokens")
+    ids = close.select(F.col("a").alias("class")).union(close.select("b"))
+    tokens = scratch.table(chosen_sets(sets, ids), f"{tag}-tokens")
     both = close.join(side(tokens, "a"), "a").join(side(tokens, "b"), "b")
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
     both = both.withColumn("_shared", shared).where(100 * F.col("_shared") >= percent * (F.size("a_tokens") + F.size("b_tokens") - F.col("_shared"))).select("a", "b")
@@ -302,6 +306,104 @@ def verified(pairs: DataFrame, orders: DataFrame, sets: DataFrame, percent: int,
     return out
 
 
+def blocks(low: int, high: int) -> list[tuple[int, int]]:
+    """The aligned blocks (level, number) of 2^level sizes that together are low..high."""
+    out = []
+    while low <= high:
+        level = min((low & -low).bit_length() - 1 if low else 62, (high - low + 1).bit_length() - 1)
+        out.append((level, low >> level))
+        low += 1 << level
+    return out
+
+
+def local_postings(kept: DataFrame, percent: int) -> DataFrame:
+    """The useful prefix tokens of `kept(class, component, n, useful)`, in exact order of frequency.
+
+    `useful` holds (frequency, token) of the tokens that another component has too. The others can be in no
+    intersection that matters; they stand first in the order and give no row. reach is the largest set that may still
+    hold this token as the first one shared; bare is the share of the tokens that aren't useful, in millionths.
+    """
+    schema = pa.schema([("token", pa.int64()), ("class", pa.int64()), ("component", pa.int64()), ("n", pa.int32()), ("reach", pa.int32()), ("bare", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for class_, component, n, useful in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                useful.sort(key=lambda x: (x["df"], x["token"]))
+                bare = n - len(useful)
+                least = (percent * n + 99) // 100
+                for at, x in enumerate(useful[: max(0, n - least + 1 - bare)], bare):
+                    reach = ((100 + percent) * (n - at) - percent * n) // percent
+                    if reach >= least:
+                        rows.append((x["token"], class_, component, n, reach, 1_000_000 * bare // n))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return kept.select("class", "component", "n", "useful").mapInArrow(run, "token bigint, class bigint, component bigint, n int, reach int, bare int")
+
+
+def by_size(local: DataFrame, percent: int, larger: bool) -> DataFrame:
+    """Local postings with the blocks of sizes under which a pair's smaller set is listed and its larger one looks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, keys = [], []
+            for i, (n, reach) in enumerate(zip(batch.column("n").to_pylist(), batch.column("reach").to_pylist(), strict=True)):
+                if larger:
+                    found = blocks((percent * n + 99) // 100, min(n, reach))
+                else:
+                    found = [(level, n >> level) for level in range(((100 - percent) * n // percent + 2).bit_length())] if reach >= n else []
+                keys += found
+                rows += [i] * len(found)
+            if rows:
+                level, block = zip(*keys, strict=True)
+                part = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(level, pa.int32()), pa.array(block, pa.int32())], names=[*part.schema.names, "level", "block"])
+
+    return local.select("token", "class", "component", "n", "reach").mapInArrow(run, "token bigint, class bigint, component bigint, n int, reach int, level int, block int")
+
+
+def dense_links(members: DataFrame, sets: DataFrame, orders: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The links (a, b) that matter among `members(class, component)`: classes that meet in crowded tokens.
+
+    Only tokens found in two components count. Their exact frequencies among the members give the order, and a pair's own
+    sizes the length of its prefixes, which is about half of what a single set must allow for. A member of a group of
+    near copies that differs from the group's middle by too many tokens has none but its own tokens there, and meets
+    nobody. Each token first pairs its members with the one nearest to the middle, the one with the least share of
+    tokens of its own; then components are renewed, and what is still apart is paired, by blocks of sizes that are
+    exactly those in reach, so that no set is compared with one outside.
+    """
+    chosen = scratch.table(chosen_sets(sets, members.select("class")).join(members, "class"), "dense-sets")
+    links, apart = None, chosen
+
+    def postings_of(sets_: DataFrame, tag: str) -> DataFrame:
+        each = sets_.select("class", "component", F.explode("tokens").alias("token"))
+        useful = each.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("df")).where("low <> high").select("token", "df")
+        useful = scratch.table(useful, f"dense-useful-{tag}")
+        kept = each.select("class", "token").join(useful, "token").groupBy("class").agg(F.collect_list(F.struct("df", "token")).alias("useful"))
+        kept = kept.join(sets_.select("class", "component", F.size("tokens").alias("n")), "class")
+        return scratch.table(local_postings(kept, percent), f"dense-local-{tag}")
+
+    local = postings_of(apart, "stars")
+    lead = local.groupBy("token").agg(F.min(F.struct("bare", "class", "component", "n", "reach")).alias("o"))
+    lead = scratch.table(lead.select("token", *[F.col(f"o.{c}").alias(f"o_{c}") for c in ("class", "component", "n", "reach")]), "dense-lead")
+    fits = (F.col("component") != F.col("o_component")) & (F.col("n") <= F.col("o_reach")) & (F.col("o_n") <= F.col("reach"))
+    stars = local.join(lead, "token").where(fits).select(F.least("class", "o_class").alias("a"), F.greatest("class", "o_class").alias("b")).distinct()
+    stars = scratch.table(stars, "dense-stars")
+    links = verified(stars, orders, sets, percent, scratch, "dense-stars")
+
+    joined = links.select("a", "b").union(members.where("class <> component").select("class", "component"))
+    renewed = connected_components(joined, scratch, "dense").withColumnsRenamed({"id": "class", "component": "now"})
+    apart = scratch.table(chosen.join(renewed, "class", "left").select("class", F.coalesce("now", "component").alias("component"), "tokens"), "dense-apart")
+    local = postings_of(apart, "pairs")
+    small, large = scratch.table(by_size(local, percent, False), "dense-small"), scratch.table(by_size(local, percent, True), "dense-large")
+    small = small.select("token", "level", "block", *[F.col(c).alias(f"o_{c}") for c in ("class", "component", "n", "reach")])
+    earlier = F.struct("o_n", "o_class") < F.struct("n", "class")
+    pairs = large.join(small, ["token", "level", "block"]).where(fits & earlier).select(F.least("class", "o_class").alias("a"), F.greatest("class", "o_class").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    more = verified(scratch.table(pairs, "dense-pairs"), orders, sets, percent, scratch, "dense-pairs")
+    return links.union(more)
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", size: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of `docs(key, text, ...)`; the rest of the columns is ignored.
 
@@ -338,15 +440,21 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", size: int = 4, perc
     near = connected_components(links, scratch, "near")
 
     labelled = scratch.table(shared.join(near.withColumnRenamed("id", "class"), "class", "left").select("token", "class", "n", F.coalesce("component", "class").alias("component")), "labelled")
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    open_ = labelled.join(mixed, "token", "left_semi")
+    mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("df")).where("low <> high").select("token", "df")
+    mixed = scratch.table(mixed, "mixed")
+    open_ = labelled.join(mixed.where(F.col("df") <= LIGHT), "token", "left_semi")
     other = open_.select("token", *[F.col(c).alias(f"o_{c}") for c in ("class", "n", "component")])
     pairs = open_.join(other, "token").where((F.col("component") < F.col("o_component")) & (100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n")))
     pairs = pairs.select(F.least("class", "o_class").alias("a"), F.greatest("class", "o_class").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = verified(scratch.table(pairs, "pairs"), orders, sets, percent, scratch, "pairs")
-    scratch.drop("orders", "stars", "shared", "labelled", "pairs")
-    final = connected_components(links.union(more), scratch, "all")
+    crowd = labelled.join(mixed.where(F.col("df") > LIGHT), "token", "left_semi").groupBy("class").agg(F.first("component").alias("component"))
+    crowd = scratch.table(crowd, "crowd")
+    links = links.union(more)
+    if not crowd.isEmpty():
+        links = links.union(dense_links(crowd, sets, orders, percent, scratch))
+    scratch.drop("orders", "stars", "shared", "labelled", "mixed", "pairs")
+    final = connected_components(links, scratch, "all")
 
     named = rows.join(final.withColumnRenamed("id", "class"), "class", "left").withColumn("group", F.coalesce("component", "class"))
-    names = named.where("class IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("name"))
+    names = scratch.table(named.where("class IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("name")), "names")
     return named.join(names, "group", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("name", "doc_id").alias("component_id"))
