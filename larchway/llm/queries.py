@@ -66,11 +66,11 @@ WITH l AS (
   SELECT doc_id, i AS line_no, ls[i] AS line, list_filter(regexp_split_to_array(ls[i], '[ 	-
 ]+'), lambda w: w <> '') AS ws
   FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
-), long AS (SELECT *, len(ws) AS n FROM l WHERE len(ws) >= 8
+), long AS (SELECT *, len(ws) AS n FROM l WHERE len(ws) >= 1
 ), c AS (SELECT ws, n, min((doc_id, line_no)) AS first FROM long GROUP BY ws, n
 ), near AS (
   SELECT DISTINCT a.ws FROM c a JOIN c b ON b.n BETWEEN a.n - 1 AND a.n + 1 AND b.first < a.first
-  WHERE (a.ws[1:4] = b.ws[1:4] OR a.ws[-4:] = b.ws[-4:]) AND CASE
+  WHERE a.n >= 8 AND b.n >= 8 AND (a.ws[1:4] = b.ws[1:4] OR a.ws[-4:] = b.ws[-4:]) AND CASE
     WHEN a.n = b.n THEN len(list_filter(range(1, a.n + 1), lambda k: a.ws[k] <> b.ws[k])) = 1
     WHEN a.n > b.n THEN len(list_filter(range(1, a.n + 1), lambda k: list_concat(a.ws[1:k - 1], a.ws[k + 1:]) = b.ws)) > 0
     ELSE len(list_filter(range(1, b.n + 1), lambda k: list_concat(b.ws[1:k - 1], b.ws[k + 1:]) = a.ws)) > 0 END

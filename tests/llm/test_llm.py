@@ -106,13 +106,54 @@ def test_lines(spark):
     long_ = " ".join(f"w{i}" for i in range(40))
     docs = [(1, f"{a}\nshort line\n{long_}"), (2, f"{a}\nshort line"), (3, a.replace("four", "FOUR")), (4, a.replace("four ", "")), (5, long_ + " w40"), (6, a.replace("one", "x").replace("ten", "y")), (7, None), (8, ""), (None, f"{a} {long_}")]
     out = {r["doc_id"]: r for r in line_dedup.dedup_lines(documents(spark, docs)).collect()}
-    assert out[1]["text"] == docs[0][1] and out[2]["text"] == "short line"
+    assert out[1]["text"] == docs[0][1] and out[2]["text"] == ""
     assert [out[i]["text"] for i in (3, 4, 5)] == ["", "", ""]
     assert out[6]["text"] == docs[5][1] and out[7]["text"] is None and out[8]["text"] == "" and out[None]["_n_removed"] == 0
     assert out[3]["n"] == "x"
     assert line_dedup.dedup_lines(documents(spark, docs).where("false")).count() == 0
 
 
+def test_lines_equal_brute_force(spark):
+    """Short and long lines, lengths at which blocks change, edits at either end, null and repeated ids, repeated rows."""
+    rng = random.Random(11)
+    base = [[rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(n)] for n in (0, 1, 2, 5, 7, 8, 9, 15, 16, 17, 31, 32, 33, 63, 64, 65, 127, 128, 129, 130, 300) for _ in range(2)]
+
+    def line():
+        words = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            at = rng.choice([0, len(words) - 1, rng.randrange(len(words) + 1)])
+            words[max(at, 0) : at + rng.randrange(2)] = rng.choice([[], ["zz"], [rng.choice("abc")]])
+        return rng.choice([" ", " ", "\t", " \x0b "]).join(words) + rng.choice(["", " "])
+
+    rows = [(rng.choice([i, i, i, None, 5]), "\n".join(line() for _ in range(rng.randint(1, 6)))) for i in range(70)]
+    rows += [rows[3], rows[9], (None, None), (None, ""), (400, None)]
+
+    def near(x, y):
+        if abs(len(x) - len(y)) > 1 or min(len(x), len(y)) < 8:
+            return False
+        if len(x) == len(y):
+            return sum(a != b for a, b in zip(x, y, strict=True)) <= 1
+        x, y = sorted((x, y), key=len)
+        return any(y[:k] + y[k + 1 :] == x for k in range(len(y)))
+
+    hashes = {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for _, t in rows], "t string").selectExpr("t", "xxhash64(t) AS h").collect()}
+    placed = {}
+    for i, t in rows:
+        for k, x in enumerate((t or "").split("\n")):
+            placed[(-(2**63) if i is None else i, hashes[t], k)] = tuple(SPLIT(x))
+    first = {}
+    for place in sorted(placed):
+        first.setdefault(placed[place], place)
+    gone = {p for p, x in placed.items() if x and (first[x] < p or any(near(x, y) and first[y] < first[x] for y in first))}
+    want = []
+    for i, t in rows:
+        parts = (t or "").split("\n")
+        left = [x for k, x in enumerate(parts) if (-(2**63) if i is None else i, hashes[t], k) not in gone]
+        want.append((i, None if t is None else "\n".join(left), 0 if t is None else len(parts) - len(left)))
+    got = [(r["doc_id"], r["text"], r["_n_removed"]) for r in line_dedup.dedup_lines(documents(spark, rows)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_jaccard_equals_brute_force(spark):
     rng = random.Random(2)
     base = [t.split() for t in texts(25, 8)]
