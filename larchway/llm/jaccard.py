@@ -199,29 +199,20 @@ def prefix(h: np.ndarray, table: np.ndarray, seed: int, percent: int) -> np.ndar
 
 
 def postings(sets: DataFrame, percent: int, table) -> DataFrame:
-    """Rows of two kinds: (token, class, n) of the prefix under the first order; (class, second, third) with the prefixes
-    under the other orders as 32-bit values."""
-    schema = pa.schema([("token", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("second", pa.list_(pa.int32())), ("third", pa.list_(pa.int32()))])
+    """(token, class, n) of the prefix under the first order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = np.frombuffer(table.value, np.uint8)
         for batch in batches:
             for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                first, others = [], ([], [])
+                part, first = batch.slice(at, 256), []
                 for blob in part.column(2):
                     h = unpacked(blob.as_buffer())
                     first.append(h[prefix(h, codes, 1, percent)])
-                    for seed, out in zip((2, 3), others, strict=True):
-                        out.append((h[prefix(h, codes, seed, percent)] >> np.uint64(8)).astype(np.uint32).view(np.int32))
-                lens = [len(t) for t in first]
-                every = np.concatenate(first)
-                none = pa.nulls(len(every), pa.list_(pa.int32()))
-                owner, n = (np.repeat(part.column(i).to_numpy(), lens) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(owner), pa.array(n), none, none], schema=schema)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), part.column(0), part.column(1), *(pa.array(o, pa.list_(pa.int32())) for o in others)], schema=schema)
+                owner, n = (np.repeat(part.column(i).to_numpy(), [len(t) for t in first]) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(owner), pa.array(n)], names=["token", "class", "n"])
 
-    return sets.select("class", "n", "tokens").mapInArrow(run, "token bigint, class bigint, n int, second array<int>, third array<int>")
+    return sets.select("class", "n", "tokens").mapInArrow(run, "token bigint, class bigint, n int")
 
 
 def meeting(found: DataFrame, n: int) -> tuple[np.ndarray, int]:
@@ -273,36 +264,39 @@ def only_meeting(found: DataFrame, meet, bits: int) -> DataFrame:
     return found.mapInArrow(run, found.schema)
 
 
-def chosen_sets(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """(class, tokens) of the classes in `ids(class)` and of a few others, whose bit in the bitmap is set too."""
+def chosen_sets(sets: DataFrame, ids: DataFrame, table, percent: int) -> DataFrame:
+    """(class, tokens, second, third) of the classes in `ids(class)` and of a few others, whose bit in the bitmap is set
+    too: the set, and its prefixes under the second and third order as 32-bit values."""
     chosen = sets.sparkSession.sparkContext.broadcast(bitmap(ids).tobytes())
+    schema = pa.schema([("class", pa.int64()), ("tokens", pa.list_(pa.int64())), ("second", pa.list_(pa.int32())), ("third", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(chosen.value, np.uint8)
+        bits, codes = np.frombuffer(chosen.value, np.uint8), np.frombuffer(table.value, np.uint8)
         for batch in batches:
             cell = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
             part = batch.filter(pa.array((bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)))
             for at in range(0, len(part), 256):
                 few = part.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([few.column(0), pa.array([unpacked(b.as_buffer()).view(np.int64) for b in few.column(1)], pa.list_(pa.int64()))], names=["class", "tokens"])
+                every = [unpacked(b.as_buffer()) for b in few.column(1)]
+                orders = [[(h[prefix(h, codes, seed, percent)] >> np.uint64(8)).astype(np.uint32).view(np.int32) for h in every] for seed in (2, 3)]
+                yield pa.RecordBatch.from_arrays([few.column(0), *(pa.array(x, f.type) for x, f in zip(([h.view(np.int64) for h in every], *orders), list(schema)[1:], strict=True))], schema=schema)
 
-    return sets.select("class", "tokens").mapInArrow(run, "class bigint, tokens array<bigint>").dropDuplicates(["class"])
+    return sets.select("class", "tokens").mapInArrow(run, "class bigint, tokens array<bigint>, second array<int>, third array<int>").dropDuplicates(["class"])
 
 
-def verified(pairs: DataFrame, orders: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, tag: str) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, table, percent: int, scratch: Scratch, tag: str) -> DataFrame:
     """The pairs (a, b) whose prefixes meet under the second and third order and whose sets are similar enough."""
-    side = lambda df, s: df.select(*[F.col(c).alias(s if c == "class" else f"{s}_{c}") for c in df.columns])
-    close = pairs.join(side(orders, "a"), "a").join(side(orders, "b"), "b").where(F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third"))
+    if pairs.isEmpty():
+        return pairs
+    chosen = scratch.table(chosen_sets(sets, pairs.select(F.col("a").alias("class")).union(pairs.select("b")), table, percent), f"{tag}-chosen")
+    side = lambda s, *columns: chosen.select(F.col("class").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns])
+    close = pairs.join(side("a", "second", "third"), "a").join(side("b", "second", "third"), "b").where(F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third"))
     close = scratch.table(close.select("a", "b"), f"{tag}-close")
-    if close.isEmpty():
-        return close
-    ids = close.select(F.col("a").alias("class")).union(close.select("b"))
-    tokens = scratch.table(chosen_sets(sets, ids), f"{tag}-tokens")
-    both = close.join(side(tokens, "a"), "a").join(side(tokens, "b"), "b")
+    both = close.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
     both = both.withColumn("_shared", shared).where(100 * F.col("_shared") >= percent * (F.size("a_tokens") + F.size("b_tokens") - F.col("_shared"))).select("a", "b")
     out = scratch.table(both, f"{tag}-links")
-    scratch.drop(f"{tag}-tokens", f"{tag}-close")
+    scratch.drop(f"{tag}-chosen", f"{tag}-close")
     return out
 
 
@@ -323,23 +317,12 @@ def local_postings(kept: DataFrame, percent: int) -> DataFrame:
     intersection that matters; they stand first in the order and give no row. reach is the largest set that may still
     hold this token as the first one shared; bare is the share of the tokens that aren't useful, in millionths.
     """
-    schema = pa.schema([("token", pa.int64()), ("class", pa.int64()), ("component", pa.int64()), ("n", pa.int32()), ("reach", pa.int32()), ("bare", pa.int32())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for class_, component, n, useful in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                useful.sort(key=lambda x: (x["df"], x["token"]))
-                bare = n - len(useful)
-                least = (percent * n + 99) // 100
-                for at, x in enumerate(useful[: max(0, n - least + 1 - bare)], bare):
-                    reach = ((100 + percent) * (n - at) - percent * n) // percent
-                    if reach >= least:
-                        rows.append((x["token"], class_, component, n, reach, 1_000_000 * bare // n))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    return kept.select("class", "component", "n", "useful").mapInArrow(run, "token bigint, class bigint, component bigint, n int, reach int, bare int")
+    n, least = F.col("n"), F.ceil(percent * F.col("n") / 100).cast("int")
+    bare = n - F.size("useful")
+    first = F.slice(F.sort_array("useful"), F.lit(1), F.greatest(n - least + 1 - bare, F.lit(0)))
+    each = kept.select("class", "component", "n", least.alias("least"), bare.alias("own"), F.posexplode(first).alias("at", "x"))
+    reach = F.floor(((100 + percent) * (n - F.col("own") - F.col("at")) - percent * n) / percent).cast("int")
+    return each.select("x.token", "class", "component", "n", reach.alias("reach"), F.floor(1_000_000 * F.col("own") / n).cast("int").alias("bare"), "least").where("reach >= least").drop("least")
 
 
 def by_size(local: DataFrame, percent: int, larger: bool) -> DataFrame:
@@ -363,7 +346,7 @@ def by_size(local: DataFrame, percent: int, larger: bool) -> DataFrame:
     return local.select("token", "class", "component", "n", "reach").mapInArrow(run, "token bigint, class bigint, component bigint, n int, reach int, level int, block int")
 
 
-def dense_links(members: DataFrame, sets: DataFrame, orders: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def dense_links(members: DataFrame, sets: DataFrame, table, percent: int, scratch: Scratch) -> DataFrame:
     """The links (a, b) that matter among `members(class, component)`: classes that meet in crowded tokens.
 
     Only tokens found in two components count. Their exact frequencies among the members give the order, and a pair's own
@@ -373,8 +356,7 @@ def dense_links(members: DataFrame, sets: DataFrame, orders: DataFrame, percent:
     tokens of its own; then components are renewed, and what is still apart is paired, by blocks of sizes that are
     exactly those in reach, so that no set is compared with one outside.
     """
-    chosen = scratch.table(chosen_sets(sets, members.select("class")).join(members, "class"), "dense-sets")
-    links, apart = None, chosen
+    chosen = scratch.table(chosen_sets(sets, members.select("class"), table, percent).select("class", "tokens").join(members, "class"), "dense-sets")
 
     def postings_of(sets_: DataFrame, tag: str) -> DataFrame:
         each = sets_.select("class", "component", F.explode("tokens").alias("token"))
@@ -384,13 +366,13 @@ def dense_links(members: DataFrame, sets: DataFrame, orders: DataFrame, percent:
         kept = kept.join(sets_.select("class", "component", F.size("tokens").alias("n")), "class")
         return scratch.table(local_postings(kept, percent), f"dense-local-{tag}")
 
-    local = postings_of(apart, "stars")
+    local = postings_of(chosen, "stars")
     lead = local.groupBy("token").agg(F.min(F.struct("bare", "class", "component", "n", "reach")).alias("o"))
     lead = scratch.table(lead.select("token", *[F.col(f"o.{c}").alias(f"o_{c}") for c in ("class", "component", "n", "reach")]), "dense-lead")
     fits = (F.col("component") != F.col("o_component")) & (F.col("n") <= F.col("o_reach")) & (F.col("o_n") <= F.col("reach"))
     stars = local.join(lead, "token").where(fits).select(F.least("class", "o_class").alias("a"), F.greatest("class", "o_class").alias("b")).distinct()
     stars = scratch.table(stars, "dense-stars")
-    links = verified(stars, orders, sets, percent, scratch, "dense-stars")
+    links = verified(stars, sets, table, percent, scratch, "dense-stars")
 
     joined = links.select("a", "b").union(members.where("class <> component").select("class", "component"))
     renewed = connected_components(joined, scratch, "dense").withColumnsRenamed({"id": "class", "component": "now"})
@@ -400,7 +382,8 @@ def dense_links(members: DataFrame, sets: DataFrame, orders: DataFrame, percent:
     small = small.select("token", "level", "block", *[F.col(c).alias(f"o_{c}") for c in ("class", "component", "n", "reach")])
     earlier = F.struct("o_n", "o_class") < F.struct("n", "class")
     pairs = large.join(small, ["token", "level", "block"]).where(fits & earlier).select(F.least("class", "o_class").alias("a"), F.greatest("class", "o_class").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = verified(scratch.table(pairs, "dense-pairs"), orders, sets, percent, scratch, "dense-pairs")
+    more = verified(scratch.table(pairs, "dense-pairs"), sets, table, percent, scratch, "dense-pairs")
+    scratch.drop("dense-sets", "dense-apart", "dense-useful-stars", "dense-useful-pairs", "dense-local-stars", "dense-local-pairs", "dense-lead", "dense-small", "dense-large", "dense-stars", "dense-pairs")
     return links.union(more)
 
 
@@ -420,12 +403,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", size: int = 4, perc
     codes = frequency_table(cells_of(sets), total, 1 + total // (1 << 34))
     table = spark.sparkContext.broadcast(codes.tobytes())
 
-    both = scratch.table(postings(sets, percent, table), "postings")
-    every, orders = both.where("token IS NOT NULL").select("token", "class", "n"), both.where("token IS NULL").select("class", "second", "third")
+    every = scratch.table(postings(sets, percent, table), "postings")
     cells, bits = meeting(every, every.count())
     meet = spark.sparkContext.broadcast(cells.tobytes())
     found = scratch.table(only_meeting(every, meet, bits).distinct(), "meeting")
-    orders = scratch.table(orders.join(found.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"]), "orders")
     meet.destroy()
     scratch.drop("postings")
     similar = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("class") != F.col("lead"))
@@ -436,7 +417,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", size: int = 4, perc
     stars = ends.join(sizes, "lead").where(similar).select(F.least("lead", "class").alias("a"), F.greatest("lead", "class").alias("b")).distinct()
     stars = scratch.table(stars, "stars")
     scratch.drop("meeting")
-    links = verified(stars, orders, sets, percent, scratch, "stars")
+    links = verified(stars, sets, table, percent, scratch, "stars")
     near = connected_components(links, scratch, "near")
 
     labelled = scratch.table(shared.join(near.withColumnRenamed("id", "class"), "class", "left").select("token", "class", "n", F.coalesce("component", "class").alias("component")), "labelled")
@@ -446,13 +427,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", size: int = 4, perc
     other = open_.select("token", *[F.col(c).alias(f"o_{c}") for c in ("class", "n", "component")])
     pairs = open_.join(other, "token").where((F.col("component") < F.col("o_component")) & (100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n")))
     pairs = pairs.select(F.least("class", "o_class").alias("a"), F.greatest("class", "o_class").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = verified(scratch.table(pairs, "pairs"), orders, sets, percent, scratch, "pairs")
+    more = verified(scratch.table(pairs, "pairs"), sets, table, percent, scratch, "pairs")
     crowd = labelled.join(mixed.where(F.col("df") > LIGHT), "token", "left_semi").groupBy("class").agg(F.first("component").alias("component"))
     crowd = scratch.table(crowd, "crowd")
     links = links.union(more)
     if not crowd.isEmpty():
-        links = links.union(dense_links(crowd, sets, orders, percent, scratch))
-    scratch.drop("orders", "stars", "shared", "labelled", "mixed", "pairs")
+        links = links.union(dense_links(crowd, sets, table, percent, scratch))
+    scratch.drop("stars", "shared", "labelled", "mixed", "pairs")
     final = connected_components(links, scratch, "all")
 
     named = rows.join(final.withColumnRenamed("id", "class"), "class", "left").withColumn("group", F.coalesce("component", "class"))
