@@ -264,39 +264,69 @@ def only_meeting(found: DataFrame, meet, bits: int) -> DataFrame:
     return found.mapInArrow(run, found.schema)
 
 
-def chosen_sets(sets: DataFrame, ids: DataFrame, table, percent: int) -> DataFrame:
-    """(class, tokens, second, third) of the classes in `ids(class)` and of a few others, whose bit in the bitmap is set
-    too: the set, and its prefixes under the second and third order as 32-bit values."""
+def chosen_sets(sets: DataFrame, ids: DataFrame, columns: str, make) -> DataFrame:
+    """class and `columns` of the classes in `ids(class)` and of a few others, whose bit in the bitmap is set too.
+
+    make(blobs) gives the columns' values for a list of packed sets.
+    """
     chosen = sets.sparkSession.sparkContext.broadcast(bitmap(ids).tobytes())
-    schema = pa.schema([("class", pa.int64()), ("tokens", pa.list_(pa.int64())), ("second", pa.list_(pa.int32())), ("third", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, codes = np.frombuffer(chosen.value, np.uint8), np.frombuffer(table.value, np.uint8)
+        bits = np.frombuffer(chosen.value, np.uint8)
         for batch in batches:
             cell = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
             part = batch.filter(pa.array((bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)))
             for at in range(0, len(part), 256):
                 few = part.slice(at, 256)
-                every = [unpacked(b.as_buffer()) for b in few.column(1)]
-                orders = [[(h[prefix(h, codes, seed, percent)] >> np.uint64(8)).astype(np.uint32).view(np.int32) for h in every] for seed in (2, 3)]
-                yield pa.RecordBatch.from_arrays([few.column(0), *(pa.array(x, f.type) for x, f in zip(([h.view(np.int64) for h in every], *orders), list(schema)[1:], strict=True))], schema=schema)
+                yield pa.RecordBatch.from_arrays([few.column(0), *make(few.column(1))], names=["class", *[c.split()[0] for c in columns.split(", ")]])
+
+    return sets.select("class", "tokens").mapInArrow(run, f"class bigint, {columns}").dropDuplicates(["class"])
+
+
+def orders_of(sets: DataFrame, ids: DataFrame, table, percent: int) -> DataFrame:
+    """(class, second, third): prefixes under the second and third order, as 32-bit values."""
+
+    def make(blobs: pa.Array) -> list[pa.Array]:
+        codes, every = np.frombuffer(table.value, np.uint8), [unpacked(b.as_buffer()) for b in blobs]
+        return [pa.array([(h[prefix(h, codes, seed, percent)] >> np.uint64(8)).astype(np.uint32).view(np.int32) for h in every], pa.list_(pa.int32())) for seed in (2, 3)]
+
+    return chosen_sets(sets, ids, "second array<int>, third array<int>", make)
+
+
+def tokens_of(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(class, tokens) as an array."""
+    return chosen_sets(sets, ids, "tokens array<bigint>", lambda blobs: [pa.array([unpacked(b.as_buffer()).view(np.int64) for b in blobs], pa.list_(pa.int64()))])
+
+
+def similar(both: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of `both(a, b, a_tokens, b_tokens)` whose packed sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = unpacked(x.as_buffer()), unpacked(y.as_buffer())
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return sets.select("class", "tokens").mapInArrow(run, "class bigint, tokens array<bigint>, second array<int>, third array<int>").dropDuplicates(["class"])
+    return both.select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, table, percent: int, scratch: Scratch, tag: str) -> DataFrame:
     """The pairs (a, b) whose prefixes meet under the second and third order and whose sets are similar enough."""
+    ids = lambda df: df.select(F.col("a").alias("class")).union(df.select("b"))
+    side = lambda df, s: df.select(*[F.col(c).alias(s if c == "class" else f"{s}_{c}") for c in df.columns])
     if pairs.isEmpty():
-        return pairs
-    chosen = scratch.table(chosen_sets(sets, pairs.select(F.col("a").alias("class")).union(pairs.select("b")), table, percent), f"{tag}-chosen")
-    side = lambda s, *columns: chosen.select(F.col("class").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns])
-    close = pairs.join(side("a", "second", "third"), "a").join(side("b", "second", "third"), "b").where(F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third"))
+        return pairs.sparkSession.createDataFrame([], "a bigint, b bigint")
+    orders = scratch.table(orders_of(sets, ids(pairs), table, percent), f"{tag}-orders")
+    close = pairs.join(side(orders, "a"), "a").join(side(orders, "b"), "b").where(F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third"))
     close = scratch.table(close.select("a", "b"), f"{tag}-close")
-    both = close.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
-    shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    both = both.withColumn("_shared", shared).where(100 * F.col("_shared") >= percent * (F.size("a_tokens") + F.size("b_tokens") - F.col("_shared"))).select("a", "b")
-    out = scratch.table(both, f"{tag}-links")
-    scratch.drop(f"{tag}-chosen", f"{tag}-close")
+    scratch.drop(f"{tag}-orders")
+    tokens = scratch.table(chosen_sets(sets, ids(close), "tokens binary", lambda blobs: [blobs]), f"{tag}-tokens")
+    both = close.join(side(tokens, "a"), "a").join(side(tokens, "b"), "b")
+    out = scratch.table(similar(both, percent), f"{tag}-links")
+    scratch.drop(f"{tag}-tokens", f"{tag}-close")
     return out
 
 
@@ -356,7 +386,7 @@ def dense_links(members: DataFrame, sets: DataFrame, table, percent: int, scratc
     tokens of its own; then components are renewed, and what is still apart is paired, by blocks of sizes that are
     exactly those in reach, so that no set is compared with one outside.
     """
-    chosen = scratch.table(chosen_sets(sets, members.select("class"), table, percent).select("class", "tokens").join(members, "class"), "dense-sets")
+    chosen = scratch.table(tokens_of(sets, members.select("class")).join(members, "class"), "dense-sets")
 
     def postings_of(sets_: DataFrame, tag: str) -> DataFrame:
         each = sets_.select("class", "component", F.explode("tokens").alias("token"))
