@@ -11,6 +11,8 @@ NAME_LENGTH, META_KEYS, META_KEY_BYTES, META_VALUE_BYTES = 128, 32, 64, 512
 UNITS = {"h": 3600.0, "m": 60.0, "s": 1.0, "ms": 1e-3, "us": 1e-6, "µs": 1e-6, "ns": 1e-9}
 #: Powers of 1024 of a size's suffixes.
 SIZES = {"": 0, "K": 1, "M": 2, "G": 3, "T": 4}
+#: Fixed value: characters of a worker's name in a test branch.
+WORKER_LENGTH = 20
 
 
 def micros(x: Column | str) -> Column:
@@ -74,11 +76,30 @@ def parse_duration(x: Column) -> Column:
 
 
 def parse_bytes(x: Column) -> Column:
-    """Bytes of 512, 10K, 1.5GB...: powers of 1024; null where it can't be read, is negative or passes 2^63 - 1."""
-    part = lambda i: F.regexp_extract(F.upper(F.trim(x)), r"^(\d+(?:\.\d+)?)\s*([KMGT]?)B?$", i)
-    power = F.create_map(*[v for k, p in SIZES.items() for v in (F.lit(k), F.lit(float(1024**p)))])
-    value = F.try_element_at(power, part(2)) * F.nullif(part(1), F.lit("")).cast("double")
-    return F.when(value < float(2**63), F.floor(value)).cast("long")
+    """Bytes of 512, 10K, 15 GB...: whole numbers and powers of 1024; '' is 0; null where it can't be read, is negative or passes 2^63 - 1."""
+    part = lambda i: F.regexp_extract(F.upper(F.trim(x)), r"^([+-]?\d{1,19})\s*([KMGT]?)B?$", i)
+    power = F.create_map(*[v for k, p in SIZES.items() for v in (F.lit(k), F.lit(1024**p).cast("long"))])
+    unit = F.try_element_at(power, part(2))
+    value = F.nullif(part(1), F.lit("")).cast("decimal(20,0)")
+    most = F.floor(F.lit(2**63 - 1).cast("decimal(20,0)") / unit).cast("decimal(20,0)")
+    return F.when(x == "", F.lit(0).cast("long")).when((value >= 0) & (value <= most), (value.cast("decimal(19,0)") * unit.cast("decimal(19,0)")).cast("long"))
+
+
+def render_duration(us: Column) -> Column:
+    """Whole and broken units of a span of microseconds, not negative: 0s, 250ms, 1.5s, 45s, 1m0s, 720h30m0s."""
+    broken = lambda whole, rest, digits: F.concat(whole.cast("string"), F.when(rest > 0, F.concat(F.lit("."), F.rtrim(F.lpad(rest.cast("string"), digits, "0"), F.lit("0")))).otherwise(""))
+    div = lambda a, b: F.floor(a / b).cast("long")
+    seconds = div(us, 1_000_000)
+    last = F.concat(broken(seconds % 60, us % 1_000_000, 6), F.lit("s"))
+    minutes = F.concat((div(seconds, 60) % 60).cast("string"), F.lit("m"), last)
+    return (
+        F.when(us == 0, "0s")
+        .when(us < 1000, F.concat(us.cast("string"), F.lit("µs")))
+        .when(us < 1_000_000, F.concat(broken(div(us, 1000), us % 1000, 3), F.lit("ms")))
+        .when(seconds < 60, last)
+        .when(seconds < 3600, minutes)
+        .otherwise(F.concat(div(seconds, 3600).cast("string"), F.lit("h"), minutes))
+    )
 
 
 def sanitize_id(x: Column) -> Column:
@@ -89,7 +110,9 @@ def sanitize_id(x: Column) -> Column:
 
 
 def test_branch_name(worker: Column, node: Column, n: Column) -> Column:
-    return F.concat_ws("-", F.lit("t"), F.left(worker, F.lit(20)), sanitize_id(node), n.cast("string"))
+    """A valid branch name for the n-th fork of a test, whatever the worker is called; 'w' where nothing of its name is left."""
+    core = F.left(F.regexp_replace(F.regexp_replace(F.lower(worker), "[^a-z0-9-]+", "-"), "^-+|-+$", ""), F.lit(WORKER_LENGTH))
+    return F.concat_ws("-", F.lit("t"), F.when(core == "", F.lit("w")).otherwise(core), sanitize_id(node), n.cast("string"))
 
 
 def escape_label(x: Column) -> Column:
@@ -97,7 +120,22 @@ def escape_label(x: Column) -> Column:
 
 
 def render_float(x: Column) -> Column:
-    return F.when(F.isnan(x), F.lit("NaN")).when(x == float("inf"), F.lit("+Inf")).when(x == float("-inf"), F.lit("-Inf")).when(x == F.floor(x), F.floor(x).cast("long").cast("string")).otherwise(x.cast("string"))
+    """The shortest digits that read back as the number; with an exponent below 1e-4 and from 1e+06 on: 0.001, 300, 1e+300."""
+    text = F.abs(x).cast("string")
+    part = lambda i: F.regexp_extract(text, r"^(\d+)(?:\.(\d+))?(?:E(-?\d+))?$", i)
+    shift = F.coalesce(F.nullif(part(3), F.lit("")).cast("int"), F.lit(0))
+    zeros = F.length(F.regexp_extract(part(2), "^0*", 0))
+    exponent = F.when(part(1) == "0", -zeros - 1).otherwise(F.length(part(1)) - 1) + shift
+    digits = F.regexp_replace(F.concat(part(1), part(2)), "^0+|0+$", "")
+    tail = F.substring(digits, F.lit(2), F.length(digits))
+    power = F.concat(F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), F.greatest(F.length(F.abs(exponent).cast("string")), F.lit(2)), F.lit("0")))
+    scientific = F.concat(F.left(digits, F.lit(1)), F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(""), F.lit("e"), power)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    whole = F.rpad(F.left(digits, exponent + 1), F.greatest(exponent + 1, F.lit(0)), F.lit("0"))
+    rest = F.substring(digits, exponent + 2, F.length(digits))
+    plain = F.when(exponent < 0, small).otherwise(F.concat(whole, F.when(rest != "", F.concat(F.lit("."), rest)).otherwise("")))
+    shown = F.when(x == 0, F.lit("0")).when((exponent < -4) | (exponent >= 6), scientific).otherwise(plain)
+    return F.when(F.isnan(x), F.lit("NaN")).when(x == float("inf"), F.lit("+Inf")).when(x == float("-inf"), F.lit("-Inf")).otherwise(F.concat(F.when(x < 0, "-").otherwise(""), shown))
 
 
 def seed_fingerprint(sql: Column) -> Column:
@@ -105,8 +143,30 @@ def seed_fingerprint(sql: Column) -> Column:
 
 
 def skip_noise(sql: Column) -> Column:
-    """SQL text without the blanks, comments and PRAGMAs it begins with."""
-    return F.regexp_replace(sql, r"(?is)^(?:\s+|--[^\n]*(?:\n|$)|/\*.*?\*/|pragma\b[^;]*;)*", "")
+    """SQL text without the blanks, comments and PRAGMAs it begins with; one that doesn't end takes the rest with it."""
+    return F.regexp_replace(sql, r"(?is)\A(?:[ \t\r\n]++|--[^\n]*+(?:\n|\z)|/\*(?:.*?\*/|.*+\z)|pragma[^;]*+(?:;|\z))*+", "")
+
+
+def opens_transaction(sql: Column) -> Column:
+    """Whether a script begins a transaction of its own, after noise."""
+    return skip_noise(sql).rlike(r"(?i)\ABEGIN(?![\p{L}\p{N}_])")
+
+
+def callable_fingerprint(module: Column, name: Column, ident: Column) -> Column:
+    """What names a seed that is a function: never equal to a text's."""
+    return F.concat(F.lit("callable:"), F.concat_ws(":", module, name, ident.cast("string")))
+
+
+def wal_header(block: Column) -> Column:
+    """The first 32 bytes of a write-ahead log; null where the magic number isn't one of its two, which tell the byte order of checksums."""
+    names = ("magic", "version", "page_size", "sequence", "salt1", "salt2", "checksum1", "checksum2")
+    magic = word(block, 0)
+    return F.when(magic.isin(0x377F0682, 0x377F0683), F.struct(*[word(block, 4 * i).alias(n) for i, n in enumerate(names)], (magic == 0x377F0683).alias("big_endian")))
+
+
+def lock_page(page_size: Column) -> Column:
+    """The page that holds the byte at 2^30, which never carries data."""
+    return (F.floor(F.lit(1 << 30) / page_size) + 1).cast("long")
 
 
 def parse_meta(flag: Column) -> Column:

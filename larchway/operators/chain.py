@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,26 +37,51 @@ def holes(members: DataFrame) -> DataFrame:
     return members.where("NOT is_snapshot").withColumn("before", before).where("min_txid <> before + 1").select("lineage", "before", "min_txid", "max_txid")
 
 
-def spine(targets: DataFrame, bases: DataFrame, rounds: int = 64) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed, as a plan of one leaf: in the folder of spark.checkpoint.dir, or a temporary one in local mode only."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="larchway-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
+def spine(targets: DataFrame, bases: DataFrame) -> DataFrame:
     """(id, lineage, hi, depth, base_lineage, base_txid): each target's lineage, its base, the base's base and so on.
 
-    Levels are joined one after the other until none is left; each is as large as the targets still climbing. A lineage
-    met twice would climb for ever, so more than `rounds` levels are an error.
+    By doubling: with each lineage's ancestor 1, 2, 4, ... steps up, the spine doubles in each round, so a forest of
+    depth d takes log2(d) joins, and its plan stays as short. Bases that hold a cycle are followed until a lineage
+    would come twice.
     """
     b = bases.select("lineage", "base_lineage", "base_txid")
-    level = targets.select("id", "lineage", F.col("target").alias("hi"), F.lit(0).alias("depth")).join(b, "lineage", "left")
-    out = level
-    for depth in range(1, rounds):
-        up = level.where("base_lineage IS NOT NULL").select("id", F.col("base_lineage").alias("lineage"), F.least("hi", "base_txid").alias("hi"), F.lit(depth).alias("depth"))
-        if up.isEmpty():
-            return out
-        level = up.join(b, "lineage", "left").select(*out.columns)
-        out = out.union(level)
-    raise ValueError("bases hold a cycle or are deeper than rounds")
+    jump = b.select("lineage", F.col("base_lineage").alias("up"), F.col("base_txid").alias("least"))
+    jumps, most = [], jump.count()
+    while not jump.isEmpty() and 1 << len(jumps) <= most:
+        jumps.append(jump)
+        far = jump.select(F.col("lineage").alias("up"), F.col("up").alias("far"), F.col("least").alias("far_least"))
+        jump = jump.join(far, "up").select("lineage", F.col("far").alias("up"), F.least("least", "far_least").alias("least"))
+        jump = cut(jump)  # it was read twice; else the plan would double as well
+    start = targets.select("id", "lineage", F.col("target").alias("hi"), F.lit(0).alias("depth"))
+    endless = None if jump.isEmpty() else jump.select("lineage")  # more steps up than there are lineages
+    out = start if endless is None else start.join(endless, "lineage", "left_anti").select("id", "lineage", "hi", "depth")
+    for k, j in enumerate(jumps):
+        out = cut(out) if k else out
+        out = out.union(out.join(j, "lineage").select("id", F.col("up").alias("lineage"), F.least("hi", "least").alias("hi"), (F.col("depth") + (1 << k)).alias("depth")))
+    if endless is not None:
+        level = start.join(endless, "lineage", "left_semi").withColumn("seen", F.array("lineage"))
+        while not (level := cut(level)).isEmpty():
+            out = out.union(level.select("id", "lineage", "hi", "depth"))
+            level = level.join(b, "lineage").where(~F.array_contains("seen", F.col("base_lineage")))
+            level = level.select("id", F.col("base_lineage").alias("lineage"), F.least("hi", "base_txid").alias("hi"), (F.col("depth") + 1).alias("depth"), F.concat("seen", F.array("base_lineage")).alias("seen"))
+    return out.join(b, "lineage", "left").select("id", "lineage", "hi", "depth", "base_lineage", "base_txid")
 
 
 def spine_recursive(targets: DataFrame, bases: DataFrame) -> DataFrame:
-    """The same as one recursive query, for forests without cycles."""
+    """The same as one recursive query, for forests without cycles, of at most 100 levels and a million rows: Spark's limits."""
     spark = targets.sparkSession
     return spark.sql(
         """WITH RECURSIVE s(id, lineage, hi, depth) AS (
@@ -72,9 +99,10 @@ def resolve(targets: DataFrame, bases: DataFrame, members: DataFrame) -> tuple[D
 
     chain: id, depth, lineage, is_snapshot, min_txid, max_txid, epoch of every member of a target that resolves.
     verdict: id, ok, length. A lineage's own snapshot wins over its base; segments must continue without a hole, level
-    by level, and end exactly at the target; what can't be resolved so is not ok and has no chain.
+    by level, and end exactly at the target; what can't be resolved so is not ok and has no chain. That includes a target
+    whose bases hold a cycle, unless a snapshot below it ends the climb; other targets aren't affected.
     """
-    levels = spine_recursive(targets, bases).where("base_txid IS NULL OR hi > base_txid").persist()
+    levels = spine(targets, bases).where("base_txid IS NULL OR hi > base_txid").persist()
     own = keep_highest_epoch(members)
     snapshots = own.where("is_snapshot").select("lineage", F.col("max_txid").alias("s_max"), F.col("epoch").alias("s_epoch"))
     anchors = levels.join(snapshots, "lineage").where("s_max <= hi").groupBy("id", "depth", "lineage").agg(F.max("s_max").alias("s_max"), F.max_by("s_epoch", "s_max").alias("s_epoch"))

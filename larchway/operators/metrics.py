@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from larchway.functions.expressions import micros
 
 #: Upper bounds of a duration histogram, in seconds.
-BOUNDS = (0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 300.0)
+BOUNDS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 120.0, 300.0)
 
 
 def usage(entries: DataFrame) -> DataFrame:
@@ -18,11 +18,14 @@ def usage(entries: DataFrame) -> DataFrame:
 
 
 def evict(entries: DataFrame, budget: int) -> DataFrame:
-    """Entries to evict, least recently used first and ties by path, until what stays is within the budget.
+    """Entries to evict, least recently used first and ties by path, until what stays is within the budget; a budget of
+    0 or less is no limit.
 
     The running sum needs one order over all entries. It is taken in two steps: sums by recency, of which there are
     few, in order; then inside a recency, in parallel.
     """
+    if budget <= 0:
+        return entries.withColumn("freed_before", F.lit(0).cast("long")).where("false")
     per = entries.groupBy("last_used").agg(F.sum("bytes").alias("_sum"))
     before = F.coalesce(F.sum("_sum").over(Window.orderBy("last_used").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = F.sum("_sum").over(Window.partitionBy())
@@ -48,7 +51,7 @@ def histogram(events: DataFrame, labels: Sequence[str], value: str, bounds: Sequ
     names = [f"_b{i}" for i in range(len(bounds))]
     aggregates = [F.count_if(F.col(value) <= b).alias(n) for b, n in zip(bounds, names, strict=True)]
     wide = events.groupBy(*labels).agg(*aggregates, F.count(value).alias("_inf"))
-    pairs = [F.struct(F.lit(repr(float(b))).alias("le"), F.col(n).alias("n")) for b, n in zip(bounds, names, strict=True)]
+    pairs = [F.struct(F.lit(f"{b:g}").alias("le"), F.col(n).alias("n")) for b, n in zip(bounds, names, strict=True)]
     return wide.select(*labels, F.explode(F.array(*pairs, F.struct(F.lit("+Inf").alias("le"), F.col("_inf").alias("n")))).alias("_p")).select(*labels, "_p.le", "_p.n")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larchway.functions.expressions import micros, parse_duration
+from larchway.functions.expressions import micros, parse_duration, render_duration
 
 #: Chains this long are copied by a fork instead of shared; seconds until a claim to delete is stale.
 SHARE_BOUND, STALE_CLAIM = 16, 30
@@ -26,9 +26,9 @@ def reap_eligible(refs: DataFrame, now: Column) -> DataFrame:
 
 
 def ttl_remaining(now: Column) -> Column:
-    """'' without a deadline, 'expired', or whole seconds such as '90s'."""
-    left = F.floor((reap_deadline() - micros(now)) / 1_000_000).cast("long")
-    return F.when(reap_deadline().isNull(), "").when(micros(now) >= reap_deadline(), "expired").otherwise(F.concat(left.cast("string"), F.lit("s")))
+    """'' without a deadline, 'expired' once it has passed, or what is left, such as '1h30m0s'."""
+    left = reap_deadline() - micros(now)
+    return F.when(left.isNull(), "").when(left < 0, "expired").otherwise(render_duration(left))
 
 
 def leases(refs: DataFrame, now: Column) -> DataFrame:
@@ -66,7 +66,7 @@ def refuse_if_open(refs: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def checkout_state() -> Column:
     """Of a checkout against its branch: unknown without a provenance row, stale, modified or clean."""
-    return F.when(F.col("side_lineage").isNull(), "unknown").when((F.col("side_lineage") != F.col("lineage")) | (F.col("side_txid") != F.col("head_txid")), "stale").when(F.col("side_hash") != F.col("file_hash"), "modified").otherwise("clean")
+    return F.when(F.col("side_lineage").isNull(), "unknown").when((F.col("side_lineage") != F.col("lineage")) | (F.col("side_epoch") != F.col("head_epoch")) | (F.col("side_txid") != F.col("head_txid")), "stale").when(F.col("side_hash") != F.col("file_hash"), "modified").otherwise("clean")
 
 
 def branch_state(now: Column) -> Column:
@@ -76,7 +76,7 @@ def branch_state(now: Column) -> Column:
         F.when(lease_live(now), "active")
         .when(F.col("side_lineage").isNull(), "idle")
         .when(~same, "detached")
-        .when(F.col("side_txid") != F.col("head_txid"), "idle")
+        .when((F.col("side_epoch") != F.col("head_epoch")) | (F.col("side_txid") != F.col("head_txid")), "idle")
         .when((F.col("side_hash") != F.col("file_hash")) | F.coalesce("busy", F.lit(False)), "dirty")
         .otherwise("idle")
     )

@@ -28,7 +28,8 @@ FIXTURES = {
           CASE WHEN l.o_orderstatus = 'P' THEN 'h' || CAST(c_custkey % 7 AS VARCHAR(20)) END AS holder,
           CASE WHEN l.o_orderstatus = 'P' THEN l.o_orderdate + INTERVAL '30' DAY END AS lease_expiry,
           CASE l.o_orderpriority WHEN '1-URGENT' THEN '1h' WHEN '2-HIGH' THEN '24h' WHEN '3-MEDIUM' THEN '720h30m' WHEN '5-LOW' THEN 'bad' END AS ttl,
-          l.o_orderdate AS touched_at, c_custkey % 17 = 3 AS reaping, c_custkey % 13 = 5 AS deleting, CASE WHEN c_custkey % 13 = 5 THEN l.o_orderdate END AS deleting_at
+          l.o_orderdate AS touched_at, c_custkey % 17 = 3 AS reaping, c_custkey % 13 = 5 AS deleting, CASE WHEN c_custkey % 13 = 5 THEN l.o_orderdate END AS deleting_at,
+          CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 1 + c_custkey % 3 END AS head_epoch
         FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN d_lin b ON c_custkey = b.lineage
         LEFT JOIN (SELECT lineage, max(max_txid) AS head FROM d_obj GROUP BY lineage) h ON c_custkey = h.lineage
         LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) o WHERE rn = 1) l ON c_custkey = l.o_custkey""",
@@ -44,13 +45,14 @@ FIXTURES = {
           CASE event_type WHEN 'click' THEN 'opened' WHEN 'view' THEN 'flushed' WHEN 'error' THEN 'flush-failed' WHEN 'purchase' THEN 'closed' ELSE event_type END AS raw,
           CASE WHEN event_id % 2 = 0 THEN 'timer' WHEN event_id % 3 = 0 THEN 'odd' ELSE 'checkpoint' END AS kind, value / 100 AS duration FROM events""",
     "d_cache": "SELECT doc_id, n_chars AS bytes, (doc_id * 7919) % 1000 AS last_used, lpad(CAST(doc_id AS VARCHAR(20)), 12, '0') AS path FROM documents",
-    "d_side": """SELECT db, branch, lineage + CASE WHEN lineage % 5 = 0 THEN 1 ELSE 0 END AS side_lineage, head_txid - CASE WHEN lineage % 4 = 0 THEN 1 ELSE 0 END AS side_txid,
+    "d_side": """SELECT db, branch, lineage + CASE WHEN lineage % 5 = 0 THEN 1 ELSE 0 END AS side_lineage, head_txid - CASE WHEN lineage % 4 = 0 THEN 1 ELSE 0 END AS side_txid, head_epoch - CASE WHEN lineage % 9 = 1 THEN 1 ELSE 0 END AS side_epoch,
           lineage * 31 AS side_hash, lineage * 31 + CASE WHEN lineage % 3 = 0 THEN 1 ELSE 0 END AS file_hash, lineage % 6 = 0 AS busy FROM d_ref WHERE lineage % 7 <> 0""",
     "d_sess": """SELECT db, branch, CASE WHEN lineage % 2 = 0 THEN 'open' WHEN lineage % 3 = 0 THEN 'pending' ELSE 'closed' END AS state, CASE WHEN lineage % 8 = 0 THEN 'disk full' ELSE '' END AS error
         FROM d_ref WHERE lineage % 3 = 0""",
     "d_str": """SELECT c_custkey AS id, c_name AS s, CASE c_custkey % 7 WHEN 0 THEN lower(replace(c_name, '#', '-')) WHEN 1 THEN 'a..b' WHEN 2 THEN 'db@x' WHEN 3 THEN 'db@x@y' WHEN 4 THEN 'db' WHEN 5 THEN '' ELSE 'a@b@c@d' END AS target,
           CASE c_custkey % 8 WHEN 0 THEN '1h30m' WHEN 1 THEN '45s' WHEN 2 THEN 'none' WHEN 3 THEN '1.5h' WHEN 4 THEN 'abc' WHEN 5 THEN '250ms' WHEN 6 THEN '-2m' ELSE '3h5' END AS dur,
-          CASE c_custkey % 7 WHEN 0 THEN '512' WHEN 1 THEN '10K' WHEN 2 THEN '3 gb' WHEN 3 THEN '-5M' WHEN 4 THEN '9999999T' WHEN 5 THEN '1.5m' ELSE 'x' END AS size,
+          CASE c_custkey % 17 WHEN 0 THEN '512' WHEN 1 THEN '10K' WHEN 2 THEN '3 gb' WHEN 3 THEN '-5M' WHEN 4 THEN '9999999T' WHEN 5 THEN '1.5m' WHEN 6 THEN '' WHEN 7 THEN '9007199254740993' WHEN 8 THEN '8388608T' WHEN 9 THEN '8388607TB'
+          WHEN 10 THEN '+7 kb' WHEN 11 THEN 'B' WHEN 12 THEN ' 5 b ' WHEN 13 THEN '1_0' WHEN 14 THEN '9223372036854775808' WHEN 15 THEN '007M' ELSE 'x' END AS size,
           'q"' || c_mktsegment || '\\' || c_name AS label, CASE c_custkey % 4 WHEN 0 THEN 'k=v=w' WHEN 1 THEN 'kv' WHEN 2 THEN '=v' ELSE 'key=' END AS flag FROM customer""",
 }
 NEEDS = {"d_obj": ("d_lin",), "d_obj2": ("d_obj",), "d_ref": ("d_lin", "d_obj"), "d_cp": ("d_obj",), "d_key": ("d_obj",), "d_tomb": ("d_key",), "d_side": ("d_ref",), "d_sess": ("d_ref",)}

@@ -13,7 +13,7 @@ from larchway.plans.fixtures import NOW_E, NOW_O, frames, with_clause
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-TARGET = 40  # a transaction inside every test log
+TARGET = "(SELECT max(txid) - 2 FROM d_log)"  # a little before the end of the log, at every size
 
 
 def moment(text: str):
@@ -28,6 +28,11 @@ def now_e():
     return moment("2024-01-31 00:00:00")
 
 
+def target(log) -> int:
+    """The transaction that TARGET names; 0 for an empty log."""
+    return log.agg(F.coalesce(F.max("txid") - 2, F.lit(0))).first()[0]
+
+
 def query(inputs: tuple[str, ...], oracle: str, recursive: bool = False):
     """Registers fn(*frames) under its name, with an oracle that may name the inputs as tables."""
 
@@ -53,23 +58,24 @@ DIGEST = "CAST('0x' || substr(md5(CAST(pgno AS VARCHAR) || '|' || payload), 1, 1
 
 @query(("d_log",), ASOF_SQL)
 def asof_replay(log):
-    return replay.asof(log, ["pgno"], TARGET).select("pgno", "payload", "txid")
+    return replay.asof(log, ["pgno"], target(log)).select("pgno", "payload", "txid")
 
 
 @query(("d_log",), f"SELECT pgno, payload, txid FROM (SELECT * FROM d_log WHERE txid <= {TARGET} QUALIFY row_number() OVER (PARTITION BY pgno ORDER BY seq DESC) = 1) WHERE op = 'U'")
 def asof_replay_maxby(log):
-    return replay.asof_max_by(log, ["pgno"], TARGET).select("pgno", "payload", "txid")
+    return replay.asof_max_by(log, ["pgno"], target(log)).select("pgno", "payload", "txid")
 
 
 @query(("d_log",), f"SELECT pgno, payload, txid FROM d_log a WHERE txid <= {TARGET} AND op = 'U' AND NOT EXISTS (SELECT 1 FROM d_log b WHERE b.pgno = a.pgno AND b.seq > a.seq AND b.txid <= {TARGET})")
 def asof_replay_antijoin(log):
-    snapshot = replay.asof(log, ["pgno"], TARGET // 2)
-    return replay.asof_anti(snapshot, log.where(f"txid > {TARGET // 2} AND txid <= {TARGET}"), ["pgno"]).select("pgno", "payload", "txid")
+    last = target(log)
+    snapshot = replay.asof(log, ["pgno"], last // 2)
+    return replay.asof_anti(snapshot, log.where((F.col("txid") > last // 2) & (F.col("txid") <= last)), ["pgno"]).select("pgno", "payload", "txid")
 
 
 @query(("d_log",), f"SELECT pgno FROM d_log a WHERE txid <= {TARGET} AND op = 'D' AND NOT EXISTS (SELECT 1 FROM d_log b WHERE b.pgno = a.pgno AND b.seq > a.seq AND b.txid <= {TARGET})")
 def replay_deletes(log):
-    return replay.latest(log.where(f"txid <= {TARGET}"), ["pgno"]).where("op = 'D'").select("pgno")
+    return replay.latest(log.where(F.col("txid") <= target(log)), ["pgno"]).where("op = 'D'").select("pgno")
 
 
 @query(
@@ -78,76 +84,30 @@ def replay_deletes(log):
     AND pgno <= (SELECT min(commit_size) FROM d_log c WHERE c.txid BETWEEN a.txid AND {TARGET} AND c.is_commit)""",
 )
 def replay_truncate(log):
-    return replay.pages_asof(log, TARGET).select("pgno", "payload", "txid")
+    return replay.pages_asof(log, target(log)).select("pgno", "payload", "txid")
 
 
-@query(("d_log",), "SELECT pgno, arg_max(payload, seq) AS payload FROM d_log WHERE txid > 10 AND txid <= 30 GROUP BY pgno")
+@query(("d_log",), "SELECT pgno, arg_max(payload, seq) AS payload FROM d_log WHERE txid > (SELECT max(txid) // 2 FROM d_log) GROUP BY pgno")
 def page_set_since_flush(log):
-    return replay.latest(log.where("txid > 10 AND txid <= 30"), ["pgno"]).select("pgno", "payload")
+    flushed = (target(log) + 2) // 2
+    return replay.latest(log.where(F.col("txid") > flushed), ["pgno"]).select("pgno", "payload")
 
 
 @query(("d_log",), f"SELECT coalesce(bit_xor({DIGEST}), 0) AS checksum, count(*) AS n_rows FROM ({ASOF_SQL})")
 def checksum_full(log):
-    return replay.checksum(replay.asof(log, ["pgno"], TARGET), "pgno", "payload")
+    return replay.checksum(replay.asof(log, ["pgno"], target(log)), "pgno", "payload")
 
 
 @query(
     ("d_log",),
-    f"""WITH t AS (SELECT DISTINCT txid FROM d_log WHERE txid <= 60),
+    f"""WITH t AS (SELECT DISTINCT txid FROM d_log),
     s AS (SELECT t.txid, l.pgno, arg_max(l.op, l.seq) AS op, arg_max(l.payload, l.seq) AS payload FROM t JOIN d_log l ON l.txid <= t.txid GROUP BY t.txid, l.pgno)
     SELECT t.txid, coalesce(bit_xor({DIGEST}) FILTER (WHERE op = 'U'), 0) AS checksum FROM t LEFT JOIN s ON t.txid = s.txid GROUP BY t.txid""",
 )
 def checksum_incremental(log):
-    return replay.checksum_chain(log.where("txid <= 60"), ["pgno"])
-
-
-def whole_log(fn):
-    """Registers fn(log, last) over all transactions, without an oracle: in SQL the chain is quadratic. Tests use brute force."""
-    QUERIES[fn.__name__] = lambda spark, sf_dir: over_all(fn, *frames(spark, sf_dir, "d_log"))
-    return fn
-
-
-def over_all(fn, log):
-    last = log.agg(F.coalesce(F.max("txid"), F.lit(0))).first()[0]
-    return fn(log, last)
-
-
-@whole_log
-def checksum_incremental_whole(log, last):
     return replay.checksum_chain(log, ["pgno"])
 
 
-@whole_log
-def asof_replay_whole(log, last):
-    return replay.asof(log, ["pgno"], last).select("pgno", "payload", "txid")
-
-
-@whole_log
-def asof_replay_maxby_whole(log, last):
-    return replay.asof_max_by(log, ["pgno"], last).select("pgno", "payload", "txid")
-
-
-@whole_log
-def asof_replay_antijoin_whole(log, last):
-    snapshot = replay.asof(log, ["pgno"], last // 2)
-    return replay.asof_anti(snapshot, log.where(F.col("txid") > last // 2), ["pgno"]).select("pgno", "payload", "txid")
-
-
-@whole_log
-def replay_deletes_whole(log, last):
-    return replay.latest(log, ["pgno"]).where("op = 'D'").select("pgno")
-
-
-@whole_log
-def replay_truncate_whole(log, last):
-    return replay.pages_asof(log, last).select("pgno", "payload", "txid")
-
-
-@whole_log
-def checksum_full_whole(log, last):
-    return replay.checksum(replay.asof(log, ["pgno"], last), "pgno", "payload")
-
-
 @query(("d_log",), "SELECT txid, pgno, arg_max(payload, seq) AS payload FROM d_log WHERE seq < (SELECT max(seq) FROM d_log) AND txid IN (SELECT txid FROM d_log WHERE is_commit AND seq < (SELECT max(seq) FROM d_log)) GROUP BY txid, pgno")
 def txn_commit_groups(log):
     torn = log.join(F.broadcast(log.agg(F.max("seq").alias("m"))), F.col("seq") < F.col("m")).drop("m")
@@ -233,7 +193,7 @@ vd AS (SELECT t.id, coalesce(p.good, false) AS ok, CASE WHEN p.good THEN CAST(p.
   FROM t LEFT JOIN (SELECT id, bool_and(good) AS good, sum(n) AS n FROM pl GROUP BY id) p USING (id)),
 cn AS (SELECT ac.id, ac.lineage, true AS is_snapshot, CAST(0 AS BIGINT) AS min_txid, ac.anchor AS max_txid, o.epoch FROM ac JOIN own o ON o.lineage = ac.lineage AND o.is_snapshot AND o.max_txid = ac.anchor WHERE ac.depth = ac.stop
   UNION ALL SELECT id, lineage, false, min_txid, max_txid, epoch FROM sk)"""
-HEADS_SQL = "WITH t AS (SELECT 'x' || CAST(lineage AS VARCHAR) || '@' || CAST(k AS VARCHAR) AS id, lineage, greatest(head_txid - k, 0) AS target FROM d_ref, (VALUES (0), (1), (2)) v(k) WHERE lineage < 400), "
+HEADS_SQL = "WITH t AS (SELECT 'x' || CAST(lineage AS VARCHAR) || '@' || CAST(k AS VARCHAR) AS id, lineage, greatest(head_txid - k, 0) AS target FROM d_ref, (VALUES (0), (1), (2)) v(k)), "
 
 
 def head_targets(branches):
@@ -275,7 +235,7 @@ def compact_plan(branches):
     return branches.select("db", "branch", F.when(F.col("shared"), F.col("lineage") + 1_000_000).otherwise(F.col("lineage")).alias("new_lineage"), F.when(F.col("shared"), "compact").alias("checkpoint"))
 
 
-MARK_SQL = "WITH t AS (SELECT CAST(lineage AS VARCHAR) || '@' || CAST(target AS VARCHAR) AS id, lineage, target FROM (SELECT lineage, head_txid AS target FROM d_ref WHERE lineage < 400 UNION SELECT lineage, txid FROM d_cp WHERE lineage < 400)), m AS (SELECT lineage, is_snapshot, min_txid, max_txid, epoch FROM d_obj)," + CHAIN_SQL + """,
+MARK_SQL = "WITH t AS (SELECT CAST(lineage AS VARCHAR) || '@' || CAST(target AS VARCHAR) AS id, lineage, target FROM (SELECT lineage, head_txid AS target FROM d_ref UNION SELECT lineage, txid FROM d_cp)), m AS (SELECT lineage, is_snapshot, min_txid, max_txid, epoch FROM d_obj)," + CHAIN_SQL + """,
 mk AS (SELECT DISTINCT 'data/' || CAST(lineage AS VARCHAR) || '/' || CAST(epoch AS VARCHAR) || CASE WHEN is_snapshot THEN '/snapshot-' || printf('%016x', max_txid) ELSE '/segment-' || printf('%016x', max_txid) || '-' || printf('%016x', min_txid) END AS key FROM cn WHERE id IN (SELECT id FROM vd WHERE ok))"""
 
 
@@ -320,7 +280,7 @@ def reap_eligible(branches):
     return refs.reap_eligible(branches, now_o()).select("db", "branch")
 
 
-@query(("d_ref",), f"SELECT db, branch, CASE WHEN dl IS NULL THEN '' WHEN dl <= {NOW_O} THEN 'expired' ELSE CAST(CAST(epoch_us(dl) // 1000000 - epoch_us({NOW_O}) // 1000000 AS BIGINT) AS VARCHAR) || 's' END AS ttl_left FROM (SELECT *, {DEADLINE} AS dl FROM d_ref)")
+@query(("d_ref",), f"SELECT db, branch, CASE WHEN dl IS NULL THEN '' WHEN dl < {NOW_O} THEN 'expired' WHEN n = 0 THEN '0s' WHEN n < 60 THEN n || 's' WHEN n < 3600 THEN (n // 60) || 'm' || (n % 60) || 's' ELSE (n // 3600) || 'h' || (n // 60 % 60) || 'm' || (n % 60) || 's' END AS ttl_left FROM (SELECT *, (epoch_us(dl) - epoch_us({NOW_O})) // 1000000 AS n FROM (SELECT *, {DEADLINE} AS dl FROM d_ref))")
 def ttl_remaining(branches):
     return branches.select("db", "branch", refs.ttl_remaining(now_o()).alias("ttl_left"))
 
@@ -348,8 +308,8 @@ def refuse_if_open(branches, sessions):
 @query(
     ("d_ref", "d_side", "d_sess"),
     f"""SELECT r.db, r.branch, CASE WHEN e.error <> '' THEN 'error' WHEN e.state = 'pending' THEN 'pending' WHEN r.lease_expiry > {NOW_O} THEN 'active' WHEN s.db IS NULL THEN 'idle' WHEN s.side_lineage <> r.lineage THEN 'detached'
-    WHEN s.side_txid <> r.head_txid THEN 'idle' WHEN s.side_hash <> s.file_hash OR s.busy THEN 'dirty' ELSE 'idle' END AS state,
-    CASE WHEN s.db IS NULL THEN 'unknown' WHEN s.side_lineage <> r.lineage OR s.side_txid <> r.head_txid THEN 'stale' WHEN s.side_hash <> s.file_hash THEN 'modified' ELSE 'clean' END AS checkout, CASE WHEN r.shared THEN 'shared' ELSE 'own' END AS storage
+    WHEN s.side_txid <> r.head_txid OR s.side_epoch <> r.head_epoch THEN 'idle' WHEN s.side_hash <> s.file_hash OR s.busy THEN 'dirty' ELSE 'idle' END AS state,
+    CASE WHEN s.db IS NULL THEN 'unknown' WHEN s.side_lineage <> r.lineage OR s.side_epoch <> r.head_epoch OR s.side_txid <> r.head_txid THEN 'stale' WHEN s.side_hash <> s.file_hash THEN 'modified' ELSE 'clean' END AS checkout, CASE WHEN r.shared THEN 'shared' ELSE 'own' END AS storage
     FROM d_ref r LEFT JOIN d_side s ON r.db = s.db AND r.branch = s.branch LEFT JOIN d_sess e ON r.db = e.db AND r.branch = e.branch""",
 )
 def branch_state(branches, sides, sessions):
@@ -389,7 +349,9 @@ def sanitize_id(strings):
     return strings.select("id", X.sanitize_id(F.col("s")).alias("name"))
 
 
-@query(("d_str",), "SELECT id, size, CASE id % 7 WHEN 0 THEN 512 WHEN 1 THEN 10240 WHEN 2 THEN 3221225472 WHEN 5 THEN 1572864 END::BIGINT AS n FROM d_str")
+@query(("d_str",), r"""WITH p AS (SELECT id, size, regexp_extract(upper(trim(size)), '^([+-]?[0-9]+)\s*([KMGT]?)B?$', 1) AS d, regexp_extract(upper(trim(size)), '^([+-]?[0-9]+)\s*([KMGT]?)B?$', 2) AS u FROM d_str),
+    v AS (SELECT id, size, TRY_CAST(d AS HUGEINT) AS n, CAST(CASE u WHEN 'K' THEN 1024 WHEN 'M' THEN 1048576 WHEN 'G' THEN 1073741824 WHEN 'T' THEN 1099511627776 ELSE 1 END AS HUGEINT) AS m FROM p)
+    SELECT id, size, CASE WHEN size = '' THEN 0 WHEN n >= 0 AND n <= 9223372036854775807 // m THEN CAST(n * m AS BIGINT) END AS n FROM v""")
 def parse_bytes(strings):
     return strings.select("id", "size", X.parse_bytes(F.col("size")).alias("n"))
 
@@ -459,7 +421,7 @@ def metrics_counter(events):
     return metrics.counter(metrics.kept_events(events), ["db", "type"], events.select("db").distinct().select("db", types))
 
 
-@query(("d_evt",), "SELECT db, le, count(d.seq) FILTER (WHERE duration <= b) AS n FROM d_evt d, (VALUES ('0.001', 0.001), ('0.0025', 0.0025), ('0.005', 0.005), ('0.01', 0.01), ('0.025', 0.025), ('0.05', 0.05), ('0.1', 0.1), ('0.25', 0.25), ('0.5', 0.5), ('1.0', 1.0), ('2.5', 2.5), ('5.0', 5.0), ('10.0', 10.0), ('30.0', 30.0), ('60.0', 60.0), ('300.0', 300.0), ('+Inf', 'infinity'::DOUBLE)) v(le, b) GROUP BY db, le")
+@query(("d_evt",), "SELECT db, le, count(d.seq) FILTER (WHERE duration <= b) AS n FROM d_evt d, (VALUES ('0.001', 0.001), ('0.005', 0.005), ('0.01', 0.01), ('0.025', 0.025), ('0.05', 0.05), ('0.1', 0.1), ('0.25', 0.25), ('0.5', 0.5), ('1', 1.0), ('2.5', 2.5), ('5', 5.0), ('10', 10.0), ('30', 30.0), ('60', 60.0), ('120', 120.0), ('300', 300.0), ('+Inf', 'infinity'::DOUBLE)) v(le, b) GROUP BY db, le")
 def metrics_histogram(events):
     return metrics.histogram(events, ["db"], "duration")
 

@@ -79,18 +79,65 @@ def test_whole_log(spark):
     log = spark.createDataFrame(rows, "txid long, seq long, pgno long, op string, payload string, is_commit boolean, commit_size long")
     digest = lambda pgno, payload: int(hashlib.md5(f"{pgno}|{payload}".encode()).hexdigest()[:15], 16)
     last, chain_ = {}, {}
+    end = rows[-1][0] - 2
     for t, _, pgno, op, payload, _, _ in rows:
-        last[pgno] = (op, payload, t)
+        if t <= end:
+            last[pgno] = (op, payload, t)
+    state = {}
+    for t, _, pgno, op, payload, _, _ in rows:
+        state[pgno] = (op, payload, t)
         total = 0
-        for k, (o, p, _) in last.items():
+        for k, (o, p, _) in state.items():
             total ^= digest(k, p) if o != "D" else 0
         chain_[t] = total
     alive = sorted((k, p, t) for k, (o, p, t) in last.items() if o != "D")
-    get = lambda fn: sorted(map(tuple, queries.over_all(fn, log).collect()))
-    assert get(queries.checksum_incremental_whole) == sorted(chain_.items()) and len({t // 1024 for t in chain_}) > 3
-    for fn in (queries.asof_replay_whole, queries.asof_replay_maxby_whole, queries.asof_replay_antijoin_whole):
+    get = lambda fn: sorted(map(tuple, fn(log).collect()))
+    assert get(queries.checksum_incremental) == sorted(chain_.items()) and len({t // 1024 for t in chain_}) > 3
+    for fn in (queries.asof_replay, queries.asof_replay_maxby, queries.asof_replay_antijoin):
         assert get(fn) == alive
-    assert get(queries.replay_deletes_whole) == sorted((k,) for k, (o, _, _) in last.items() if o == "D")
-    least = lambda t: min(size for u, _, _, _, _, commit, size in rows if commit and u >= t)
-    assert get(queries.replay_truncate_whole) == sorted((k, p, t) for k, (_, p, t) in last.items() if k <= least(t))
-    assert get(queries.checksum_full_whole) == [(chain_[rows[-1][0]], len(alive))]
+    assert get(queries.replay_deletes) == sorted((k,) for k, (o, _, _) in last.items() if o == "D")
+    least = lambda t: min((size for u, _, _, _, _, commit, size in rows if commit and t <= u <= end), default=10**9)
+    assert get(queries.replay_truncate) == sorted((k, p, t) for k, (_, p, t) in last.items() if k <= least(t))
+    assert get(queries.checksum_full) == [(max((c for c in chain_.items() if c[0] <= end))[1], len(alive))]
+
+
+def test_cycles_and_depth_spoil_only_their_own_targets(spark):
+    """A spine of 140 levels, a cycle of three lineages, one that leads into it, and one saved by its own snapshot."""
+    base_of = {n: (n - 1, 1) for n in range(2, 141)} | {201: (202, 1), 202: (203, 1), 203: (201, 1), 210: (201, 1), 211: (201, 1)}
+    rows = {1: [(1, True, 0, 1, 1)], 140: [(140, False, 2, 2, 1)], 211: [(211, True, 0, 3, 1)]}
+    names = ("lineage", "is_snapshot", "min_txid", "max_txid", "epoch")
+    targets = [(n, n, t) for n, t in ((1, 1), (77, 1), (140, 2), (201, 1), (210, 1), (211, 3))]
+    df = lambda rows, s: spark.createDataFrame(rows, s)
+    d_lin = df([(a, b, t) for a, (b, t) in base_of.items()], "lineage long, base_lineage long, base_txid long")
+    members = df([m for ms in rows.values() for m in ms], "lineage long, is_snapshot boolean, min_txid long, max_txid long, epoch long")
+    got = {r["id"]: (r["ok"], r["length"]) for r in chain.resolve(df(targets, "id long, lineage long, target long"), d_lin, members)[1].collect()}
+
+    def want(n, t):
+        try:
+            return True, len(chain.plan(n, t, base_of, {k: [dict(zip(names, m, strict=True)) for m in ms] for k, ms in rows.items()}))
+        except LookupError:
+            return False, 0
+
+    assert got == {n: want(n, t) for n, _, t in targets}
+
+
+def test_reference_values(spark):
+    """Fixed values of rendering and parsing."""
+    from pyspark.sql import functions as F
+
+    from larchway.functions import expressions as X
+    from larchway.operators import metrics
+
+    one = spark.range(1)
+    get = lambda c: one.select(c.alias("x")).first()["x"]
+    for v, text in ((0.0, "0"), (1.0, "1"), (0.25, "0.25"), (300.0, "300"), (123456.5, "123456.5"), (1e6, "1e+06"), (1e300, "1e+300"), (1.5e-7, "1.5e-07"), (0.0001, "0.0001"), (0.00012, "0.00012"), (-2.5, "-2.5"), (float("inf"), "+Inf"), (123456789.0, "1.23456789e+08"), (0.1, "0.1"), (40.0, "40")):
+        assert get(X.render_float(F.lit(v))) == text, v
+    for us, text in ((0, "0s"), (1, "1µs"), (250_000, "250ms"), (1_500, "1.5ms"), (45_000_000, "45s"), (60_000_000, "1m0s"), (5_400_000_000, "1h30m0s"), (1_500_000, "1.5s"), (3_600_000_001, "1h0m0.000001s")):
+        assert get(X.render_duration(F.lit(us).cast("long"))) == text, us
+    for sql, rest in (("  -- a\nBEGIN;", "BEGIN;"), ("PRAGMA x=1; /* c */ select", "select"), ("pragma never ends", ""), ("/* open", ""), ("-- all", ""), ("beginning", "beginning")):
+        assert get(X.skip_noise(F.lit(sql))) == rest, sql
+    assert [get(X.opens_transaction(F.lit(s))) for s in ("PRAGMA a;begin", "BEGIN TRANSACTION;", "BEGINS", "select 1")] == [True, True, False, False]
+    assert get(X.test_branch_name(F.lit("GW_0!"), F.lit("a::b"), F.lit(3))).startswith("t-gw-0-a-b-")
+    assert get(X.lock_page(F.lit(4096))) == 262145
+    entries = spark.createDataFrame([("a", 1, 5)], "path string, last_used long, bytes long")
+    assert metrics.evict(entries, 0).count() == 0 and metrics.evict(entries, 4).count() == 1
