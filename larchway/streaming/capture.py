@@ -42,8 +42,9 @@ def capture(store: Store, stream: DataFrame, db: str, branch: str, table: str, h
         rest.select(*batch.columns).write.mode("overwrite").parquet(f"{pending}/{number}")
         if not done.isEmpty():
             last = done.drop("is_commit", "txid")
-            store.commit(db, branch, {table: last}, holder, epoch)
-        store.catalog.update(db, branch, lambda r: replace(r, meta=r.meta | {key: str(number)}))
+            store.commit(db, branch, {table: last}, holder, epoch, {key: str(number)})  # one write: a crash leaves both or neither
+        else:
+            store.catalog.update(db, branch, lambda r: replace(r, meta=r.meta | {key: str(number)}))
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(flush).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -104,3 +104,59 @@ def test_stream_equals_batch(spark, store, tmp_path):
     for key, v, op, *_ in log[:18]:
         state.pop(key, None) if op == "D" else state.update({key: v})
     assert rows(store.table("shop", "main", "t")) == sorted(state.items())
+
+
+def test_a_losing_writer_changes_nothing(spark, store):
+    """Two writers on one version: the loser's member is garbage, and reads see the winner's."""
+    real, other = store.catalog.put, Store(spark, str(store.catalog.folder))
+
+    def slow(db, branch, ref, version):
+        store.catalog.put = real
+        other.commit("shop", "main", change(spark, (1, "winner", "U")))
+        return real(db, branch, ref, version)
+
+    store.catalog.put = slow
+    with pytest.raises(CasError):
+        store.commit("shop", "main", change(spark, (1, "loser", "U")))
+    assert rows(store.table("shop", "main", "t")) == [(1, "winner"), (2, "b"), (3, "c")]
+    new, _ = store.gc(60, NOW)
+    assert len(new) == 1 and rows(other.table("shop", "main", "t"))[0] == (1, "winner")
+    with pytest.raises(ValueError):
+        store.commit("shop", "main", change(spark, (1, "x", "U"), (1, "y", "U")))
+
+
+def test_gc_spares_what_is_about_to_be_published(spark, store):
+    ref, version = store.catalog.get("shop", "main")
+    pick = store._write(ref.lineage, ref.epoch, f"segment-{2:016x}-{2:016x}", {"t": (spark.createDataFrame([(1, "late", "U", 2, 0)], "id long, v string, op string, txid long, seq long"), ["id"])})
+    store.gc(60, NOW)
+    assert store.gc(60, NOW + timedelta(seconds=100))[1] == []
+    store.catalog.put("shop", "main", replace(ref, head_txid=2, picks=[*ref.picks, pick]), version)
+    assert rows(store.table("shop", "main", "t"))[0] == (1, "late")
+
+
+def test_claims_hold_for_the_version_that_was_checked(tmp_path):
+    c = Catalog(str(tmp_path / "c"), create=True)
+    c.put("d", "b", Ref("l", ttl=10.0, touched_at=NOW.isoformat()), None)
+    real, later = c.put, NOW + timedelta(hours=1)
+
+    def slow(db, branch, ref, version):
+        c.put = real
+        c.touch("d", "b", later)
+        return real(db, branch, ref, version)
+
+    c.put = slow
+    assert c.reap(later) == [] and not c.get("d", "b")[0].reaping
+    c.put = slow
+    with pytest.raises(CasError):
+        c.destroy("d", "b", later)
+    c.update("d", "b", lambda r: replace(r, reaping=True))
+    assert c.reap(later) == [] and not c.get("d", "b")[0].reaping
+    assert c.reap(later + timedelta(hours=1)) == ["d@b"]
+
+
+def test_cadence_keeps_few_picks(spark, store):
+    for i in range(17):
+        store.commit("shop", "main", change(spark, (1, f"v{i}", "U")))
+    ref, _ = store.catalog.get("shop", "main")
+    assert rows(store.table("shop", "main", "t"))[0] == (1, "v16") and len(ref.picks) <= 4
+    assert rows(store.table("shop", "main", "t", at="init"))[0] == (1, "a")
