@@ -83,3 +83,8 @@ def once(key, make):
     if key not in _per_process:
         _per_process[key] = make()
     return _per_process[key]
+
+
+def forget(key) -> None:
+    """Lets go of what `once` keeps, in this worker."""
+    _per_process.pop(key, None)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larchway.llm.common import Memo, Scratch, once, text_or_empty
+from larchway.llm.common import Memo, Scratch, forget, once, text_or_empty
 from larchway.llm.components import connected_components
 
 #: Bits of a token's hash that are stored and compared.
@@ -56,7 +56,7 @@ def mix(h: np.ndarray, seed: int) -> np.ndarray:
 
 def shingles(text: str, size: int) -> np.ndarray:
     """The distinct n-grams of a text as sorted 64-bit hashes; with fewer words, the whole sequence as one."""
-    memo = once("words", lambda: Memo(xxhash.xxh3_64_intdigest, 250_000))
+    memo = once("words", lambda: Memo(xxhash.xxh3_64_intdigest, 150_000))
     memo.trim()
     words = _words(text.encode("utf-8", "surrogatepass").lower())  # lowers A-Z only
     if not words:
@@ -202,6 +202,7 @@ def postings(sets: DataFrame, percent: int, table) -> DataFrame:
     """(token, class, n) of the prefix under the first order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget("words")  # texts aren't read again
         codes = np.frombuffer(table.value, np.uint8)
         for batch in batches:
             for at in range(0, len(batch), 256):
@@ -293,9 +294,16 @@ def orders_of(sets: DataFrame, ids: DataFrame, table, percent: int) -> DataFrame
     return chosen_sets(sets, ids, "second array<int>, third array<int>", make)
 
 
-def tokens_of(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """(class, tokens) as an array."""
-    return chosen_sets(sets, ids, "tokens array<bigint>", lambda blobs: [pa.array([unpacked(b.as_buffer()).view(np.int64) for b in blobs], pa.list_(pa.int64()))])
+def as_arrays(sets: DataFrame) -> DataFrame:
+    """(class, tokens) with the packed sets as arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                few = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([few.column(0), pa.array([unpacked(b.as_buffer()).view(np.int64) for b in few.column(1)], pa.list_(pa.int64()))], names=["class", "tokens"])
+
+    return sets.select("class", "tokens").mapInArrow(run, "class bigint, tokens array<bigint>")
 
 
 def similar(both: DataFrame, percent: int) -> DataFrame:
@@ -386,7 +394,9 @@ def dense_links(members: DataFrame, sets: DataFrame, table, percent: int, scratc
     tokens of its own; then components are renewed, and what is still apart is paired, by blocks of sizes that are
     exactly those in reach, so that no set is compared with one outside.
     """
-    chosen = scratch.table(tokens_of(sets, members.select("class")).join(members, "class"), "dense-sets")
+    # from here on only the members' sets are read, not all
+    sets = scratch.table(chosen_sets(sets, members.select("class"), "tokens binary", lambda blobs: [blobs]).join(members.select("class"), "class"), "dense-packed")
+    chosen = scratch.table(as_arrays(sets).join(members, "class"), "dense-sets")
 
     def postings_of(sets_: DataFrame, tag: str) -> DataFrame:
         each = sets_.select("class", "component", F.explode("tokens").alias("token"))
@@ -413,7 +423,7 @@ def dense_links(members: DataFrame, sets: DataFrame, table, percent: int, scratc
     earlier = F.struct("o_n", "o_class") < F.struct("n", "class")
     pairs = large.join(small, ["token", "level", "block"]).where(fits & earlier).select(F.least("class", "o_class").alias("a"), F.greatest("class", "o_class").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = verified(scratch.table(pairs, "dense-pairs"), sets, table, percent, scratch, "dense-pairs")
-    scratch.drop("dense-sets", "dense-apart", "dense-useful-stars", "dense-useful-pairs", "dense-local-stars", "dense-local-pairs", "dense-lead", "dense-small", "dense-large", "dense-stars", "dense-pairs")
+    scratch.drop("dense-packed", "dense-sets", "dense-apart", "dense-useful-stars", "dense-useful-pairs", "dense-local-stars", "dense-local-pairs", "dense-lead", "dense-small", "dense-large", "dense-stars", "dense-pairs")
     return links.union(more)
 
 
