@@ -102,6 +102,7 @@ class PieceCodec:
     def encode(self, text: str) -> bytes:
         """The ids with begin and end, as little-endian unsigned 32-bit integers. An empty text has these two alone."""
         self.memo.trim()
+        self.pair.trim()
         body = b"".join(map(self.memo.__getitem__, self.chunks(" " + text.replace(BLANK, " ")))) if text else b""
         return self.begin + body + self.end
 

@@ -219,6 +219,7 @@ class Transducer:
         ends, extra, done = np.zeros(len(texts) + 1, np.int64), np.zeros(len(texts), np.int64), 0
         for i, text in enumerate(texts):
             self.words.trim()
+            self.pair.trim()
             parts = self.special.split(text) if "<|" in text else [text]
             extra[i] = len(parts) // 2
             words = [w for part in parts[::2] for w in self.chunks(part)]

@@ -37,7 +37,7 @@ def entries_of(word: str) -> tuple[str, ...]:
 
 
 def held_out(key: str = "doc_id"):
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
