@@ -11,8 +11,9 @@ needs it, into a deterministic transducer whose transitions carry the number of
   split part (letters, single digits, other characters, contractions) has seven states and decides where words end.
 * White space leads from any state to the start. A text is cut there into chunks; the state map of such a chunk is
   constant, so composing the maps of a batch's chunks is one prefix sum of their counts, and a text's count is the
-  difference of the scan at its two ends. Runs without white space are cut every CHUNK characters; the map of such a
-  chunk is kept for each state it was entered from, and the maps are composed in order.
+  difference of the scan at its two ends. Longer runs without white space are cut every CHUNK characters; such a
+  chunk's map (state before -> state after, tokens emitted) is filled for the states it is entered from, as the states
+  themselves are compiled only when met, and the maps of a run are composed in order.
 
 Maps are memoised, and so are transitions; both tables are emptied, never truncated, when they outgrow their bounds.
 """
@@ -64,12 +65,24 @@ class Transducer:
         self.kind = Memo(lambda c: LETTERS if regex.match(r"\p{L}", c) else BEFORE if regex.match(r"\p{N}", c) else OTHER, 1 << 20)
         self.bytes = Memo(lambda c: [self.symbol[b] for b in c.encode()], 1 << 20)
         self.words = Memo(self._word, 300_000)
+        self.maps = Memo(lambda key: self.run(*key), 20_000)
         self.reset()
 
     def reset(self) -> None:
         """Forgets compiled states; the start is state 0."""
         start = ("", ((None, 0),))
         self.states, self.index, self.arcs, self.ends = [start], {start: 0}, [{}], [{}]
+        self.maps.clear()
+
+    def numbered(self, key: tuple) -> int:
+        """The number of a state, a new one if need be."""
+        to = self.index.get(key)
+        if to is None:
+            to = self.index[key] = len(self.states)
+            self.states.append(key)
+            self.arcs.append({})
+            self.ends.append({})
+        return to
 
     def symbols(self, token: str) -> list[str]:
         core = token.removesuffix(self.end)
@@ -113,12 +126,7 @@ class Transducer:
             grown = [*tails, (token, count)]
             keep = next(k for k in range(len(read), -1, -1) if read[len(read) - k :] in self.prefixes)
             key = (read[len(read) - keep :], tuple((t, n - count) for t, n in grown[len(grown) - keep - 1 :]))
-            to = self.index.get(key)
-            if to is None:
-                to = self.index[key] = len(self.states)
-                self.states.append(key)
-                self.arcs.append({})
-                self.ends.append({})
+            to = self.numbered(key)
         arcs[symbol] = to, count
         return to, count
 
@@ -204,8 +212,17 @@ class Transducer:
             if word[-1] in ".,;:" and word[:-1].isalpha():
                 return self.words[word[:-1]] + self.words[word[-1]]
         at, total = (BEFORE, 0, ""), 0
+        if len(word) <= CHUNK:
+            at, total = self.run(at, word)
+            return total + self.finish(at)
         for k in range(0, len(word), CHUNK):
-            at, n = self.run(at, word[k : k + CHUNK])
+            if len(self.states) > self.most_states:
+                mode, state, kept = at
+                key = self.states[state]
+                self.reset()
+                at = mode, self.numbered(key), kept
+            self.maps.trim()
+            at, n = self.maps[at, word[k : k + CHUNK]]
             total += n
         return total + self.finish(at)
 
