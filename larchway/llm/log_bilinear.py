@@ -42,7 +42,8 @@ _words = re.compile(rb"[^\x20\x09-\x0D]+").findall
 
 
 def code(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) & ~0xFF | xxhash.xxh3_64_intdigest(word[-2:]) & 0xFE
+    c = xxhash.xxh3_64_intdigest(word) & ~0xFF | xxhash.xxh3_64_intdigest(word[-2:]) & 0xFF
+    return min(c, 2**64 - 2)  # the last one is the end's
 
 
 def codes(text: str) -> np.ndarray:
