@@ -119,6 +119,18 @@ def ranges_of(values: np.ndarray, low: int, kind: str) -> tuple[list[int], list[
     return full, [part[cuts[r] : cuts[r + 1]].tobytes() for r in full]
 
 
+def laid_out(parts: DataFrame, width: int) -> np.ndarray:
+    """The blobs of `parts(range, blob)` at their ranges' places, `width` bytes each; zeros where a range has none.
+
+    One job fetches them, 128 MB at most: a local iterator would run a job for each shuffle partition.
+    """
+    out = np.zeros(width << RANGE_BITS, np.uint8)
+    for batch in parts.toArrow().to_batches():
+        for at, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            out[at * width : (at + 1) * width] = np.frombuffer(blob.as_buffer(), np.uint8)
+    return out
+
+
 def cells_of(sets: DataFrame) -> DataFrame:
     """(range, cells): the low bits of the cells of a range's tokens."""
 
@@ -161,11 +173,7 @@ def frequency_table(cells: DataFrame, total: int, spread: int) -> np.ndarray:
         return pa.table({"range": table.column("range")[:1], "codes": pa.array([packed.tobytes()], pa.binary())})
 
     parts = cells.withColumn("salt", F.pmod(F.xxhash64("cells"), F.lit(spread))).groupBy("range", "salt").applyInArrow(lambda _, t: part(t.select(["range", "cells"])), "range int, counts binary")
-    out = np.zeros(1 << CELL_BITS - 2, np.uint8)
-    width = 1 << LOW_BITS - 2
-    for row in parts.groupBy("range").applyInArrow(lambda _, t: whole(t), "range int, codes binary").toLocalIterator():
-        out[row["range"] * width : (row["range"] + 1) * width] = np.frombuffer(row["codes"], np.uint8)
-    return out
+    return laid_out(parts.groupBy("range").applyInArrow(lambda _, t: whole(t), "range int, codes binary"), 1 << LOW_BITS - 2)
 
 
 def bitmap(ids: DataFrame) -> np.ndarray:
@@ -178,11 +186,7 @@ def bitmap(ids: DataFrame) -> np.ndarray:
 
     cell = F.shiftrightunsigned("class", 64 - CELL_BITS)
     cells = ids.select(F.shiftright(cell, LOW_BITS).cast("int").alias("range"), cell.bitwiseAND(F.lit((1 << LOW_BITS) - 1)).cast("int").alias("low")).distinct()
-    out = np.zeros(1 << CELL_BITS - 3, np.uint8)
-    width = 1 << LOW_BITS - 3
-    for row in cells.groupBy("range").applyInArrow(lambda _, t: whole(t), "range int, bits binary").toLocalIterator():
-        out[row["range"] * width : (row["range"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
-    return out
+    return laid_out(cells.groupBy("range").applyInArrow(lambda _, t: whole(t), "range int, bits binary"), 1 << LOW_BITS - 3)
 
 
 def ordered(h: np.ndarray, table: np.ndarray, seed: int) -> np.ndarray:
@@ -245,12 +249,8 @@ def meeting(found: DataFrame, n: int) -> tuple[np.ndarray, int]:
             once_[c] = True
         return pa.table({"range": table.column("range")[:1], "bits": pa.array([np.packbits(twice).tobytes()], pa.binary())})
 
-    out = np.zeros(1 << bits - 3, np.uint8)
-    width = 1 << low - 3
     parts = found.select("token").mapInArrow(cells, "range int, cells binary").groupBy("range").applyInArrow(lambda _, t: whole(t), "range int, bits binary")
-    for row in parts.toLocalIterator():
-        out[row["range"] * width : (row["range"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
-    return out, bits
+    return laid_out(parts, 1 << low - 3), bits
 
 
 def only_meeting(found: DataFrame, meet, bits: int) -> DataFrame:
