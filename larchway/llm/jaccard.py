@@ -10,7 +10,7 @@ tokens last, by a class of frequency, and differ in the hash that orders tokens
 2. The prefix tokens under the first order are emitted. Most occur once; a bitmap of hash cells that hold two or
    more of them lets the others go before the shuffle. Of the classes that meet in a token, each is paired
    with two leaders, so a token shared by m classes gives less than 2 m pairs, and these are verified.
-3. Their components are found. Classes that meet in a token of at most 16 classes and are not yet in the same component
+3. Their components are found. Classes that meet in a token of at most 32 classes and are not yet in the same component
    are paired in full: a link inside a component can change nothing. Classes that meet in a token of more are joined
    anew among themselves, see `dense_links`, with exact counts of their tokens.
 
@@ -38,8 +38,10 @@ CELL_BITS, RANGE_BITS = 26, 10
 LOW_BITS = CELL_BITS - RANGE_BITS
 #: The bitmap of cells in which prefix tokens meet has four cells a posting, within these bounds (128 MB at most).
 MEET_BITS = (20, 30)
-#: Tokens in which at most so many classes meet pair them all; more are joined by `dense_links`.
-LIGHT = 16
+#: Tokens in which at most so many classes meet pair them all, at most 15.5 pairs a posting; more are joined by
+#: `dense_links`, which lists every token of a member twice instead of the 1 - t of them in a prefix: that is as many
+#: rows as m / 2 pairs a posting for m about 4 / (1 - t), 27 at 0.85 and 20 at 0.8.
+LIGHT = 32
 #: Above the mean of cells and eight deviations: where the frequency classes 1, 2 and 3 begin.
 STEPS = (8, 64, 512)
 _words = re.compile(rb"[^\x20\x09-\x0D]+").findall
