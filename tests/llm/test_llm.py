@@ -154,7 +154,11 @@ def test_lines_equal_brute_force(spark):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
-def test_jaccard_equals_brute_force(spark):
+@pytest.mark.parametrize("light", [jaccard.LIGHT, 2])  # at 2 the dense join has work to do
+def test_jaccard_equals_brute_force(spark, monkeypatch, light):
+    dense, members = jaccard.dense_links, []
+    monkeypatch.setattr(jaccard, "LIGHT", light)
+    monkeypatch.setattr(jaccard, "dense_links", lambda m, *rest: members.append(m.count()) or dense(m, *rest))
     rng = random.Random(2)
     base = [t.split() for t in texts(25, 8)]
     rows = []
@@ -184,6 +188,7 @@ def test_jaccard_equals_brute_force(spark):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(documents(spark, rows)).collect()}
     assert {i: got[i] for i in ids} == {i: (len(sets[i]), find(i)) for i in ids}
     assert got[None] == (len(sets[0]), find(0))
+    assert light > 2 or sum(members) > 0
     assert jaccard.jaccard_components(documents(spark, rows).where("false")).count() == 0
 
 
