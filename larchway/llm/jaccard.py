@@ -357,12 +357,13 @@ def local_postings(kept: DataFrame, percent: int) -> DataFrame:
     intersection that matters; they stand first in the order and give no row. reach is the largest set that may still
     hold this token as the first one shared; bare is the share of the tokens that aren't useful, in millionths.
     """
-    n, least = F.col("n"), F.ceil(percent * F.col("n") / 100).cast("int")
+    n, wide = F.col("n"), F.col("n").cast("long")  # products of an int overflow, which is an error
+    least = F.ceil(percent * wide / 100).cast("int")
     bare = n - F.size("useful")
     first = F.slice(F.sort_array("useful"), F.lit(1), F.greatest(n - least + 1 - bare, F.lit(0)))
     each = kept.select("class", "component", "n", least.alias("least"), bare.alias("own"), F.posexplode(first).alias("at", "x"))
-    reach = F.floor(((100 + percent) * (n - F.col("own") - F.col("at")) - percent * n) / percent).cast("int")
-    return each.select("x.token", "class", "component", "n", reach.alias("reach"), F.floor(1_000_000 * F.col("own") / n).cast("int").alias("bare"), "least").where("reach >= least").drop("least")
+    reach = F.floor(((100 + percent) * (wide - F.col("own") - F.col("at")) - percent * wide) / percent).cast("int")
+    return each.select("x.token", "class", "component", "n", reach.alias("reach"), F.floor(1_000_000 * F.col("own").cast("long") / n).cast("int").alias("bare"), "least").where("reach >= least").drop("least")
 
 
 def by_size(local: DataFrame, percent: int, larger: bool) -> DataFrame:
@@ -451,7 +452,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", size: int = 4, perc
     found = scratch.table(only_meeting(every, meet, bits).distinct(), "meeting")
     meet.destroy()
     scratch.drop("postings")
-    similar = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("class") != F.col("lead"))
+    in_reach = lambda n, m: 100 * F.least(n, m).cast("long") >= percent * F.greatest(n, m).cast("long")
+    similar = in_reach("n", "m") & (F.col("class") != F.col("lead"))
     lead = found.groupBy("token").agg(F.min("class").alias("lead"), F.max("class").alias("last")).where("lead <> last")
     shared = scratch.table(found.join(lead, "token"), "shared")
     sizes = found.select(F.col("class").alias("lead"), F.col("n").alias("m")).distinct()
@@ -467,7 +469,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", size: int = 4, perc
     mixed = scratch.table(mixed, "mixed")
     open_ = labelled.join(mixed.where(F.col("df") <= LIGHT), "token", "left_semi")
     other = open_.select("token", *[F.col(c).alias(f"o_{c}") for c in ("class", "n", "component")])
-    pairs = open_.join(other, "token").where((F.col("component") < F.col("o_component")) & (100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n")))
+    pairs = open_.join(other, "token").where((F.col("component") < F.col("o_component")) & in_reach("n", "o_n"))
     pairs = pairs.select(F.least("class", "o_class").alias("a"), F.greatest("class", "o_class").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = verified(scratch.table(pairs, "pairs"), sets, table, percent, scratch, "pairs")
     crowd = labelled.join(mixed.where(F.col("df") > LIGHT), "token", "left_semi").groupBy("class").agg(F.first("component").alias("component"))

@@ -192,6 +192,16 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, light):
     assert jaccard.jaccard_components(documents(spark, rows).where("false")).count() == 0
 
 
+def test_jaccard_of_long_texts_in_crowded_tokens(spark, monkeypatch):
+    """Three texts that share 15,700 shingles of 18,000 and so don't link, and a near copy of one of them."""
+    monkeypatch.setattr(jaccard, "LIGHT", 2)
+    core = [f"c{i}" for i in range(15_700)]
+    rows = [(i, " ".join(core + [f"x{i}y{k}" for k in range(2_300)])) for i in range(3)]
+    rows.append((3, rows[2][1] + " z"))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(documents(spark, rows)).collect()}
+    assert got == {0: (17_997, 0), 1: (17_997, 1), 2: (17_997, 2), 3: (17_998, 2)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(50, 60), (60, 50), (70, 70), (99, 40)]
     got = {r["id"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
