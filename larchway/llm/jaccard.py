@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larchway.llm.common import Memo, Scratch, forget, once, text_or_empty
+from larchway.llm.common import Memo, Scratch, batches_of, forget, once, text_or_empty
 from larchway.llm.components import connected_components
 
 #: Bits of a token's hash that are stored and compared.
@@ -42,6 +42,9 @@ MEET_BITS = (20, 30)
 #: `dense_links`, which lists every token of a member twice instead of the 1 - t of them in a prefix: that is as many
 #: rows as m / 2 pairs a posting for m about 4 / (1 - t), 27 at 0.85 and 20 at 0.8.
 LIGHT = 32
+#: Bytes of an Arrow batch that Python gets. By rows alone, 10,000 sets or texts are some 20 MB, whose buffers, doubled as
+#: they grow, stay with each executor's allocator.
+BATCH = 2 << 20
 #: Above the mean of cells and eight deviations: where the frequency classes 1, 2 and 3 begin.
 STEPS = (8, 64, 512)
 _words = re.compile(rb"[^\x20\x09-\x0D]+").findall
@@ -124,10 +127,13 @@ def ranges_of(values: np.ndarray, low: int, kind: str) -> tuple[list[int], list[
 def laid_out(parts: DataFrame, width: int) -> np.ndarray:
     """The blobs of `parts(range, blob)` at their ranges' places, `width` bytes each; zeros where a range has none.
 
-    One job fetches them, 128 MB at most: a local iterator would run a job for each shuffle partition.
+    One job fetches them, 128 MB at most: a local iterator would run a job for each shuffle partition. Batches go as
+    they are laid out, so that both don't stand whole in the driver.
     """
+    batches = parts.toArrow().to_batches()
     out = np.zeros(width << RANGE_BITS, np.uint8)
-    for batch in parts.toArrow().to_batches():
+    while batches:
+        batch = batches.pop()
         for at, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             out[at * width : (at + 1) * width] = np.frombuffer(blob.as_buffer(), np.uint8)
     return out
@@ -229,6 +235,7 @@ def meeting(found: DataFrame, n: int) -> tuple[np.ndarray, int]:
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
             full, blobs = ranges_of(np.concatenate(held), low, "<u4")
@@ -237,8 +244,10 @@ def meeting(found: DataFrame, n: int) -> tuple[np.ndarray, int]:
 
         for batch in batches:
             held.append(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(TOKEN_BITS - bits))
-            if len(held) > 150:
+            size += len(held[-1])
+            if size > 1_500_000:
                 yield flush()
+                size = 0
         if held:
             yield flush()
 
@@ -272,7 +281,7 @@ def chosen_sets(sets: DataFrame, ids: DataFrame, columns: str, make) -> DataFram
 
     make(blobs) gives the columns' values for a list of packed sets.
     """
-    chosen = sets.sparkSession.sparkContext.broadcast(bitmap(ids).tobytes())
+    chosen = sets.sparkSession.sparkContext.broadcast(bitmap(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(chosen.value, np.uint8)
@@ -438,17 +447,24 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", size: int = 4, perc
     copies of each other like any two rows with one text. A row with a null id takes part; it is never a component's
     name unless nothing else is in it. An empty table gives no rows.
     """
+    with batches_of(docs.sparkSession, BATCH):
+        return _components(docs, key, size, percent)
+
+
+def _components(docs: DataFrame, key: str, size: int, percent: int) -> DataFrame:
+    """All Python runs in here, while the tables are written; what the result reads needs none."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     surveyed = scratch.table(survey(docs, key, size), "survey")
     rows, sets = surveyed.select("doc_id", "class", "n"), surveyed.where("tokens IS NOT NULL").select("class", "n", "tokens")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     codes = frequency_table(cells_of(sets), total, 1 + total // (1 << 34))
-    table = spark.sparkContext.broadcast(codes.tobytes())
+    table = spark.sparkContext.broadcast(codes)
 
     every = scratch.table(postings(sets, percent, table), "postings")
     cells, bits = meeting(every, every.count())
-    meet = spark.sparkContext.broadcast(cells.tobytes())
+    meet = spark.sparkContext.broadcast(cells)
+    del cells  # up to 128 MB
     found = scratch.table(only_meeting(every, meet, bits).distinct(), "meeting")
     meet.destroy()
     scratch.drop("postings")
@@ -475,9 +491,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", size: int = 4, perc
     crowd = labelled.join(mixed.where(F.col("df") > LIGHT), "token", "left_semi").groupBy("class").agg(F.first("component").alias("component"))
     crowd = scratch.table(crowd, "crowd")
     links = links.union(more)
+    scratch.drop("stars", "shared", "labelled", "mixed", "pairs")
     if not crowd.isEmpty():
         links = links.union(dense_links(crowd, sets, table, percent, scratch))
-    scratch.drop("stars", "shared", "labelled", "mixed", "pairs")
     final = connected_components(links, scratch, "all")
 
     named = rows.join(final.withColumnRenamed("id", "class"), "class", "left").withColumn("group", F.coalesce("component", "class"))

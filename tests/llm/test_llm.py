@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from larchway.llm import byte_bpe, components, embedding_forest, jaccard, line_dedup, log_bilinear, packing, piece_codec, quality, token_counts, toxicity, warc
@@ -202,6 +203,24 @@ def test_jaccard_of_long_texts_in_crowded_tokens(spark, monkeypatch):
     assert got == {0: (17_997, 0), 1: (17_997, 1), 2: (17_997, 2), 3: (17_998, 2)}
 
 
+def test_jaccard_bounds_the_bytes_of_batches(spark, monkeypatch):
+    """While the operator runs, Python gets batches of some 2 MB, not 10,000 rows of any size; the setting is put back."""
+    before, survey, seen = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"), jaccard.survey, []
+
+    def sizes(batches):
+        yield from (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+
+    def spy(docs, *rest):
+        seen.extend(r["n"] for r in docs.mapInArrow(sizes, "n long").collect())
+        return survey(docs.where("false"), *rest)
+
+    monkeypatch.setattr(jaccard, "survey", spy)
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 800) AS text")
+    assert jaccard.jaccard_components(docs).count() == 0
+    assert sum(seen) > 12e6 and max(seen) < 1.1 * jaccard.BATCH
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(50, 60), (60, 50), (70, 70), (99, 40)]
     got = {r["id"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
