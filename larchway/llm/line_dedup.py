@@ -137,8 +137,10 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
 
     wanted = near.groupBy("doc", "version").agg(F.collect_list(F.struct("line_no", "h1", "h2", "head", "tail")).alias("wanted"))
     found = docs.select(*identity(key, text), F.col(text).alias("text")).join(wanted, ["doc", "version"])
-    found = found.select("doc", "version", F.split(plain(F.col("text")), "\n").alias("all"), F.explode("wanted").alias("w"))
-    found = found.select("doc", "version", "w.*", words_of(F.element_at("all", F.col("w.line_no") + 1)).alias("words"))
+    found = found.select("doc", "version", F.split(plain(F.col("text")), "\n").alias("all"), "wanted")
+    # words are split before the explode, as in _lines: the filter on their hashes would split them again, twice
+    with_words = F.transform("wanted", lambda w: w.withField("words", words_of(F.element_at("all", w["line_no"] + 1))))
+    found = found.select("doc", "version", F.explode(with_words).alias("w")).select("doc", "version", "w.*")
     w1, w2 = two_hashes(F.col("words"))
     texts = scratch.table(found.where((w1 == F.col("h1")) & (w2 == F.col("h2"))).select("h1", "h2", place.alias("first"), "words", "head", "tail").dropDuplicates(["h1", "h2"]), "texts")
 
@@ -193,8 +195,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
     scratch.drop("lines", "classes", "verified", "places")
     doc, version = identity(key, text)
     joined = docs.join(gone, (doc == F.col("_doc")) & (version == F.col("_version")), "left").drop("_doc", "_version")
-    all_ = F.split(F.col(text), "\n")
-    kept = F.filter(all_, lambda _, i: ~F.array_contains("_gone", i))
-    out = joined.withColumn("_kept", F.when(F.col("_gone").isNull(), all_).otherwise(kept))
-    out = out.withColumn("_n_lines", F.coalesce(F.size(all_), F.lit(0)).cast("long")).withColumn("_n_removed", F.coalesce(F.size(all_) - F.size("_kept"), F.lit(0)).cast("long"))
-    return out.withColumn(text, F.when(F.col("_n_removed") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text))).drop("_kept", "_gone")
+    # only texts that lose a line are split; the numbers gone are distinct and of lines that are there
+    n_lines = F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1
+    kept = F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains("_gone", i))
+    out = joined.withColumns({"_n_lines": F.coalesce(n_lines, F.lit(0)).cast("long"), "_n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")})
+    return out.withColumn(text, F.when(F.col("_gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text))).drop("_gone")

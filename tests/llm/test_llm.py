@@ -155,6 +155,14 @@ def test_lines_equal_brute_force(spark):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_lines_are_split_once(spark):
+    """No filter of the plan splits texts again, and texts that lose no line aren't split to be counted."""
+    out = line_dedup.dedup_lines(documents(spark, [(1, "a b\na b"), (2, "c")]))
+    plan = out.select("_n_lines", "_n_removed")._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and not out.schema["_n_removed"].nullable and not out.schema["_n_lines"].nullable
+    assert sorted((r["doc_id"], r["_n_lines"], r["_n_removed"], r["text"]) for r in out.collect()) == [(1, 2, 1, "a b"), (2, 1, 0, "c")]
+
+
 @pytest.mark.parametrize("light", [jaccard.LIGHT, 2])  # at 2 the dense join has work to do
 def test_jaccard_equals_brute_force(spark, monkeypatch, light):
     dense, members = jaccard.dense_links, []
