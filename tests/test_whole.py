@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import pytest
+
 from larchway.operators import chain
 from larchway.plans import queries
 
@@ -102,6 +104,35 @@ def test_cycles_and_depth_spoil_only_their_own_targets(spark):
     assert got == {n: want(n, t) for n, _, t in targets}
 
 
+def test_recursive_spine_passes_the_limits_of_levels_and_rows(spark):
+    """A spine of as many levels as its bases allow, under limits lower than Spark's, which are there again afterwards."""
+    base_of = {n: (n - 1, 1 + n % 4) for n in range(2, 13)}
+    d_lin = spark.createDataFrame([(a, b, t) for a, (b, t) in base_of.items()], "lineage long, base_lineage long, base_txid long")
+    d_ref = spark.createDataFrame([(n, 5) for n in range(1, 13)], "lineage long, head_txid long")
+    want = []
+    for n in range(1, 13):
+        at, hi, depth = n, 5, 0
+        while True:
+            want.append((n, at, hi, depth))
+            if at not in base_of:
+                break
+            at, hi, depth = base_of[at][0], min(hi, base_of[at][1]), depth + 1
+    limits = {"spark.sql.cteRecursionLevelLimit": "4", "spark.sql.cteRecursionRowLimit": "20"}
+    before = {k: spark.conf.get(k) for k in limits}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        got = queries.base_spine(d_lin, d_ref)
+        assert {k: spark.conf.get(k) for k in limits} == limits
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        with pytest.raises(Exception, match="RECURSION_LEVEL_LIMIT_EXCEEDED"):
+            queries.base_spine(d_lin.union(d_lin.selectExpr("1L", "12L", "1L")).distinct(), d_ref)
+        assert {k: spark.conf.get(k) for k in limits} == limits
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_reference_values(spark):
     """Fixed values of rendering and parsing."""
     from pyspark.sql import functions as F
